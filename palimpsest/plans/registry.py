@@ -1,0 +1,6 @@
+"""Queries of the engine by name, and the DuckDB SQL each must agree with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
