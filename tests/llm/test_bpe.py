@@ -1,0 +1,47 @@
+import base64
+import hashlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from palimpsest.llm import bpe
+
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab'sre 1!\n\té中  "), max_size=200), st.integers(9, 40), st.integers(8, 20))
+def test_chunks_give_the_librarys_ids(text, chunk, overlap):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))} if not hasattr(test_chunks_give_the_librarys_ids, "enc") else None
+    if ranks:
+        test_chunks_give_the_librarys_ids.enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.encode_text(text, RANKS, P.PATTERN, chunk, overlap) == test_chunks_give_the_librarys_ids.enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 500, " " * 500, "a" * 90 + " b " * 90, "", None, "x" + "\n" * 99 + "y", "it's " * 50])
+def test_pieces_longer_than_an_overlap(text, library):
+    assert bpe.encode_text(text, RANKS, P.PATTERN, 40, 10) == library.encode_ordinary(text or "")
+
+
+def test_whole_table(spark, library):
+    texts = [(1, None, "x"), (2, "", "x"), (3, "It's the end.  \n\n42", "x"), (None, "no id", "x"), (4, "lorem ipsum'll " * 40 + "a" * 300, "x"), (4, "lorem ipsum'll " * 40 + "a" * 300, "x")]
+    got = bpe.encode(spark.createDataFrame(texts, "doc_id long, text string, ids string"), RANKS, P.PATTERN, chunk=64, overlap=16).collect()
+    want = []
+    for doc_id, text, _ in texts:
+        ids = library.encode_ordinary(text or "")
+        want.append((doc_id, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_empty_table(spark):
+    assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), RANKS, P.PATTERN).count() == 0
