@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, quality, simhash
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,7 +45,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup}
+    return {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
