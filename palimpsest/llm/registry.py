@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash
+from . import bpe, decontaminate, exact_dedup, pii, quality, simhash
 from .common import table
 
 
@@ -44,8 +44,15 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    terms = F.transform(F.coalesce("terms", F.array()), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
+    spans = F.array_join(F.concat(F.filter(F.array("base"), lambda b: b != ""), terms), ",")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup}
+    return {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
