@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, simhash
+from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, warc
 from .common import table
 
 
@@ -18,6 +18,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < best THEN best END AS refers_to
+FROM q
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,8 +66,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
