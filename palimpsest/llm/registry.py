@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, warc
+from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, suffix_dedup, warc
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
