@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, suffix_dedup, warc
+from . import bpe, decontaminate, exact_dedup, licenses, pii, quality, simhash, suffix_dedup, token_counts, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     terms = F.transform(F.coalesce("terms", F.array()), lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string")))
@@ -69,9 +73,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii}
+    every = (op1_quality, op2_warc, op3_bpe, op4_decontaminate, op5_suffix_dedup, op6_simhash, op7_exact_dedup, op8_licenses, op9_pii, op10_token_counts)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+    """Without those that SQL can't express, or not on whole tables in reasonable time: these are tested by brute force."""
+    return {"op2_warc": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op8_licenses": licenses.oracle_sql()}
