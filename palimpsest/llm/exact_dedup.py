@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, texts_of
+from .common import scratch, texts_of, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Of the filter over hits; 1 MiB, whatever the size of the input.
@@ -111,3 +111,22 @@ def classes(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id",
     whole = run.join(torn, "digest", "left_anti").join(merged, "digest")
     split = digested.withColumnRenamed("doc_id", "id").join(torn, "digest", "left_semi").join(verified, ["digest", "ntext"])
     return whole.select(*out).unionByName(split.select(*out))
+
+
+def keep_one(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows that have an equal text elsewhere; all columns stay.
+
+    Only the identifiers and digests of what goes meet the texts, as a broadcast if their table is small. Repeated rows
+    that share identifier and text count as one; one of them stays.
+    """
+    marked = written(classes(docs, keep=keep, id_col=id_col, text_col=text_col).select("doc_id", "kept", "group_size", F.unhex("text_sha256").alias("digest")), "classes")
+    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    own = docs.withColumn("__own", digest_of(normalised(F.coalesce(docs[text_col].cast("string"), F.lit("")))))
+    same = F.col("__own") == F.col("__digest")
+    left = own.join(written(gone, "gone"), same & own[id_col].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    repeated = written(marked.where("kept AND group_size > 1").groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), "repeated")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    match = same & left[id_col].cast("long").eqNullSafe(F.col("__id"))
+    once = left.join(repeated, match, "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(repeated, match, "left_semi").dropDuplicates([id_col, "__own"]).select(*docs.columns))

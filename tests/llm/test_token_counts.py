@@ -11,9 +11,9 @@ PATH = P.path("byte_bpe_50k.tiktoken")
 
 def greedy(word, vocabulary, prefix=b" "):
     """Takes the longest piece that fits, again and again."""
-    rest, n = prefix + word, 0
+    rest, n, longest = prefix + word, 0, max(map(len, vocabulary), default=0)
     while rest:
-        size = next((k for k in range(len(rest), 0, -1) if rest[:k] in vocabulary), 0)
+        size = next((k for k in range(min(longest, len(rest)), 0, -1) if rest[:k] in vocabulary), 0)
         if not size:
             return 1
         rest, n = rest[size:], n + 1
