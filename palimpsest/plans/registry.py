@@ -2,5 +2,617 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed, text, vectors
+from ..operators import answers as answering
+from ..operators import compression, entity_store, evaluation, extraction, graph, hierarchy, packing, retrieval
+from ..sources import corpora, paging, rpc
+from ..streaming import ingest
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _pages(spark, sf_dir):
+    return paging.pages(_docs(spark, sf_dir))
+
+
+def _triples(spark, sf_dir):
+    return extraction.triples(_pages(spark, sf_dir))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written and read back: used more than once, computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    # Adding zero turns -0.0 into 0.0.
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+def _queries(spark, sf_dir, max_tokens: int = 4096) -> DataFrame:
+    """Every benchmark passage as a question."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), F.lit(max_tokens).alias("max_tokens"), F.array().cast("array<string>").alias("required"))
+
+
+# --- pages and text ---
+
+
+@query(f"WITH {sql.PAGES} SELECT page_seq, printf('page_%07d', page_seq) AS page_id, md5(text) AS text_md5, token_count FROM pages_of")
+def page_slices(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_seq", "page_id", F.md5("text").alias("text_md5"), F.col("token_count").cast("long").alias("token_count"))
+
+
+@query(f"SELECT doc_id, {sql.estimate('text')} AS n FROM documents")
+def token_estimates(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.token_estimate(F.col("text")).alias("n"))
+
+
+@query(f"WITH {sql.terms('documents', 'doc_id')} SELECT doc_id, pos::INT AS pos, term FROM terms")
+def embedding_terms(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.embedding_terms(F.col("text"))).alias("pos", "term"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("pos"), "term")
+
+
+@query("SELECT doc_id, i - 1 AS ord, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]') AS s FROM documents))")
+def sentences(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("ord", "sentence")).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(f"SELECT item_id, p AS phrase, {sql.is_concept('p')} AS valid FROM (SELECT item_id, {sql.phrase('s')} AS p FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^.!?]+[.!?]')) AS s FROM benchmark))")
+def phrases(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.sentences(F.col("text"))).alias("s"))
+    return rows.select("item_id", text.phrase(F.col("s")).alias("phrase")).withColumn("valid", text.is_concept(F.col("phrase")))
+
+
+def _clean_sql(stop: list[str]) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter(list_transform({sql.tokens('lower(text)')}, lambda t: trim(t, {sql.PUNCT})), lambda t: length(t) >= 3 AND NOT list_contains({sql.listed(stop)}, t)))), ',')"
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter({sql.tokens('lower(text)')}, lambda t: length(t) >= 4 AND NOT list_contains({sql.listed(fixed.STOP_RAW)}, t)))), ',') AS raw, {_clean_sql(fixed.STOP_CLEAN)} AS clean, {_clean_sql(fixed.STOP_FILTER)} AS filtering FROM benchmark")
+def query_entities(spark, sf_dir):
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    t = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", joined(text.raw_entities(t)).alias("raw"), joined(text.clean_entities(t, fixed.STOP_CLEAN)).alias("clean"), joined(text.clean_entities(t, fixed.STOP_FILTER)).alias("filtering"))
+
+
+@query(r"SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '\b(a|an|the)\b', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda t: t <> ''), ' ') AS answer FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+def normalised_answers(spark, sf_dir):
+    # Word boundaries beside other than ASCII letters differ between the two regular expression engines.
+    return table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", text.normalised_answer(F.col("text")).alias("answer"))
+
+
+# --- vectors ---
+
+_TERMS = f"items AS (SELECT DISTINCT unnest({sql.tokens('lower(text)')}) AS concept FROM benchmark)"
+
+
+def _item_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.lower("text"))).alias("concept")).distinct()
+
+
+@query(f"WITH {_TERMS} SELECT concept, {sql.hash31('concept')} AS h FROM items")
+def concept_hash(spark, sf_dir):
+    return _item_terms(spark, sf_dir).select("concept", vectors.concept_hash(F.col("concept")).alias("h"))
+
+
+@query(f"WITH {_TERMS}, {sql.dims(16)} SELECT concept, j, round(cos(w * {sql.hash31('concept')} + b), 6) + 0.0::DOUBLE AS x FROM items, dims")
+def concept_embedding(spark, sf_dir):
+    rows = _item_terms(spark, sf_dir).select("concept", F.posexplode(vectors.concept_embedding(F.col("concept"), 16)).alias("j", "x"))
+    return _rounded(rows.withColumn("j", F.col("j").cast("long")), "x")
+
+
+@query(f"WITH {sql.PAGES}, {sql.terms('pages_of', 'page_seq')}, {sql.dims(16)} SELECT page_seq, j, round(avg(cos(w * {sql.hash31('term')} + b)), 6) + 0.0::DOUBLE AS x FROM terms, dims GROUP BY page_seq, j")
+def page_embedding(spark, sf_dir):
+    rows = hierarchy.beacons(_pages(spark, sf_dir), 16).select("page_seq", F.posexplode("embedding").alias("j", "x"))
+    return _rounded(rows.withColumn("j", F.col("j").cast("long")), "x")
+
+
+@query(f"SELECT vec_id, {sql.buckets(64, 4)} AS bucket FROM embeddings")
+def lsh_buckets(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(vectors.bucket(F.col("embedding"), 64, 4), ",").alias("bucket"))
+
+
+@query(f"SELECT {sql.buckets(64, 2, 1.0)} AS bucket, count(*) AS n FROM embeddings GROUP BY 1")
+def bucket_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy(F.array_join(vectors.bucket(F.col("embedding"), 64, 2, 1.0), ",").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_COS = f"{sql.dot('x.embedding', 'y.embedding')} / sqrt({sql.dot('x.embedding', 'x.embedding')} * {sql.dot('y.embedding', 'y.embedding')})"
+
+
+@query(f"WITH h AS (SELECT vec_id, embedding, {sql.buckets(64, 4)} AS bucket FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b, round({_COS}, 6) + 0.0::DOUBLE AS cos FROM h x JOIN h y ON x.bucket = y.bucket AND x.vec_id < y.vec_id WHERE {_COS} >= 0.95")
+def near_duplicate_pairs(spark, sf_dir):
+    return _rounded(compression.near_pairs(table(spark, sf_dir, "embeddings"), 64, 0.95, id_col="vec_id", vector_col="embedding"), "cos")
+
+
+def _projection_sql() -> str:
+    matrix = vectors.projection(64, 8, 42)
+    return " UNION ALL ".join(f"SELECT vec_id, {j}::BIGINT AS j, round({sql.dot('embedding', sql.listed(col))}, 6) + 0.0::DOUBLE AS x FROM embeddings" for j, col in enumerate(matrix.T))
+
+
+@query(_projection_sql())
+def random_projection(spark, sf_dir):
+    rows = compression.projected(table(spark, sf_dir, "embeddings"), 64, 8, id_col="vec_id", vector_col="embedding").select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("j", "x"))
+    return _rounded(rows.withColumn("j", F.col("j").cast("long")), "x")
+
+
+@query()
+def projection_error(spark, sf_dir):
+    """Mean squared error of projecting to 32 dimensions and back."""
+    e = table(spark, sf_dir, "embeddings")
+    back = compression.unprojected(compression.projected(e, 64, 32, id_col="vec_id", vector_col="embedding"), 64, 32)
+    joined = e.join(back, e.vec_id == back.id)
+    return joined.select("vec_id", (vectors.square_distance(F.col("embedding"), F.col("vector")) / 64).alias("error"))
+
+
+def _asked(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query(f"SELECT x.vec_id AS query_id, y.vec_id, round({_COS}, 6) + 0.0::DOUBLE AS cos FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY {_COS} DESC, y.vec_id) <= 5")
+def cosine_topk(spark, sf_dir):
+    """The five nearest of every fiftieth vector: a stated query set against all rows."""
+    from pyspark.sql import Window
+
+    e, asked = _asked(spark, sf_dir)
+    # The largest magnitudes first: one broadcast of the query set, a top-k for each partial group.
+    scored = e.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("embedding")).alias("cos"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "vec_id"))
+    return _rounded(scored.withColumn("r", rank).where("r <= 5").drop("r"), "cos")
+
+
+_DIST = "list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+@query(f"SELECT x.vec_id AS query_id, y.vec_id, round(exp(-({_DIST})), 6) AS proximity FROM embeddings x, embeddings y WHERE x.vec_id % 50 = 0")
+def rbf_proximity(spark, sf_dir):
+    e, asked = _asked(spark, sf_dir)
+    return _rounded(e.join(F.broadcast(asked)).select("query_id", "vec_id", vectors.rbf(F.col("embedding"), F.col("q")).alias("proximity")), "proximity")
+
+
+@query(f"WITH d AS (SELECT x.vec_id AS query_id, y.vec_id, {_DIST} AS dist FROM embeddings x, embeddings y WHERE x.vec_id % 50 = 0), s AS (SELECT query_id, min(dist) + 2 * greatest(stddev_pop(dist), 1) AS reach FROM d GROUP BY 1) SELECT d.query_id, count(*) AS n FROM d JOIN s USING (query_id) WHERE dist <= reach + 1e-9 GROUP BY 1")
+def bucket_miss_candidates(spark, sf_dir):
+    e, asked = _asked(spark, sf_dir)
+    dist = e.join(F.broadcast(asked)).select("query_id", "vec_id", vectors.square_distance(F.col("embedding"), F.col("q")).alias("dist"))
+    reach = dist.groupBy("query_id").agg((F.min("dist") + 2 * F.greatest(F.stddev_pop("dist"), F.lit(1.0))).alias("reach"))
+    return dist.join(reach, "query_id").where("dist <= reach + 1e-9").groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+# --- hierarchy ---
+
+
+@query(f"WITH {sql.PAGES} SELECT page_seq, printf('page_%07d', page_seq) AS page_id, page_seq + 1 AS b1_no, page_seq // 10 + 1 AS b2_no, page_seq // 100 + 1 AS b3_no, printf('b1_%07d', page_seq + 1) AS b1_id, printf('b2_%07d', page_seq // 10 + 1) AS b2_id, printf('b3_%07d', page_seq // 100 + 1) AS b3_id FROM pages_of")
+def hierarchy_map(spark, sf_dir):
+    return hierarchy.hierarchy(_pages(spark, sf_dir))
+
+
+@query(f"""WITH {sql.PAGES}, h AS (SELECT page_seq, page_seq + 1 AS b1_no, page_seq // 10 + 1 AS b2 FROM pages_of), s AS (SELECT b2, count(*) AS n FROM h GROUP BY 1),
+h2 AS (SELECT page_seq, b1_no, CASE WHEN n >= 2 THEN b2 END AS b2_no FROM h JOIN s USING (b2)), h3 AS (SELECT *, (b2_no - 1) // 10 + 1 AS b3 FROM h2), s3 AS (SELECT b3, count(DISTINCT b2_no) AS n FROM h3 WHERE b3 IS NOT NULL GROUP BY 1)
+SELECT page_seq, b1_no, b2_no, CASE WHEN s3.n >= 2 THEN h3.b3 END AS b3_no FROM h3 LEFT JOIN s3 ON s3.b3 = h3.b3""")
+def hierarchy_strict(spark, sf_dir):
+    return hierarchy.hierarchy(_pages(spark, sf_dir), strict=True).select("page_seq", "b1_no", "b2_no", "b3_no")
+
+
+def _vector_beacons(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("b1_no"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@query("WITH e AS (SELECT vec_id // 10 + 1 AS b2_no, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT b2_no, j, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS mu, round(coalesce(var_samp(x), 0), 6) + 0.0::DOUBLE AS variance FROM e GROUP BY ALL")
+def gaussian_patches(spark, sf_dir):
+    p = hierarchy.patches(_vector_beacons(spark, sf_dir))
+    rows = p.select("b2_no", "n", F.posexplode(F.arrays_zip("mu", "variance")).alias("j", "x"))
+    return _rounded(rows.select("b2_no", F.col("j").cast("long").alias("j"), "n", "x.mu", "x.variance"), "mu", "variance")
+
+
+@query()
+def patch_precision(spark, sf_dir):
+    return hierarchy.pinv_precision(_vector_beacons(spark, sf_dir))
+
+
+@query()
+def spectral_signatures(spark, sf_dir):
+    return hierarchy.signatures(hierarchy.patches(_vector_beacons(spark, sf_dir))).select("b3_no", "eigenvalues")
+
+
+@query("SELECT event_type AS page_id, round(sum(CASE WHEN value > 50 THEN 1.0 ELSE 0.5 END), 6) AS score FROM events GROUP BY 1")
+def access_scores(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("page_id"), F.when(F.col("value") > 50, 1.0).otherwise(0.5).alias("delta"))
+    return _rounded(hierarchy.access_scores(log), "score")
+
+
+@query("WITH s AS (SELECT event_type AS page_id, sum(value) AS score FROM events GROUP BY 1) SELECT page_id, round(score, 4) AS score FROM s WHERE page_id <> (SELECT page_id FROM s ORDER BY score, page_id LIMIT 1)")
+def evict_worst(spark, sf_dir):
+    scores = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("page_id")).agg(F.sum("value").alias("score"))
+    return _rounded(hierarchy.evict(scores, hierarchy.worst_page(scores)), "score", digits=4)
+
+
+# --- triples and graph ---
+
+
+@query(f"WITH {sql.PAGES},{sql.VERB_TRIPLES} SELECT page_seq, ord, subject, predicate, object FROM verb_rows")
+def verb_triples(spark, sf_dir):
+    return extraction.verb_triples(_pages(spark, sf_dir))
+
+
+@query(f"WITH {sql.PAGES},{sql.OF_TRIPLES} SELECT page_seq, ord, subject, predicate, object FROM of_rows")
+def of_triples(spark, sf_dir):
+    return extraction.of_triples(_pages(spark, sf_dir))
+
+
+@query(f"WITH {sql.GRAPH} SELECT idx, concept FROM concepts")
+def concept_index(spark, sf_dir):
+    return graph.concepts(_triples(spark, sf_dir))
+
+
+@query(f"WITH {sql.GRAPH} SELECT src, dst, w FROM edges")
+def edge_weights(spark, sf_dir):
+    return graph.edges(_triples(spark, sf_dir))
+
+
+@query(f"WITH {sql.GRAPH} SELECT concept, round(sum(CASE WHEN slot = 1 THEN {fixed.RHO_PREDICATE} ELSE {fixed.RHO_ENDS} END)::DOUBLE, 6) AS rho FROM slots GROUP BY 1")
+def initial_strength(spark, sf_dir):
+    return _rounded(graph.strengths(_triples(spark, sf_dir)), "rho")
+
+
+@query(f"WITH {sql.GRAPH} SELECT concept, b1_no FROM postings")
+def postings(spark, sf_dir):
+    return graph.postings(_triples(spark, sf_dir))
+
+
+@query(f"WITH {sql.GRAPH} SELECT concept, degree FROM degrees")
+def degrees(spark, sf_dir):
+    return graph.degrees(graph.symmetric(graph.edges(_triples(spark, sf_dir))))
+
+
+@query(f"WITH {sql.GRAPH}{sql.LAPLACIAN} SELECT src, dst, round(v, 6) + 0.0::DOUBLE AS v FROM lap")
+def laplacian(spark, sf_dir):
+    return _rounded(graph.laplacian(graph.symmetric(kept(graph.edges(_triples(spark, sf_dir)), "edges"))), "v")
+
+
+def build(spark, sf_dir) -> retrieval.Index:
+    """The index over documents; every table is written once."""
+    pages = kept(_pages(spark, sf_dir), "pages")
+    found = kept(extraction.triples(pages), "triples")
+    lap = kept(graph.laplacian(graph.symmetric(kept(graph.edges(found), "edges"))), "laplacian")
+    return retrieval.Index(pages, kept(hierarchy.hierarchy(pages), "hierarchy"), kept(graph.concepts(found), "concepts"), lap, kept(graph.postings(found), "postings"))
+
+
+_ACTIVE = ["is", "was", "are"]
+_ACTIVE_SQL = f"list_contains({sql.listed(_ACTIVE)}, n.concept)"
+
+
+def _spread(spark, sf_dir):
+    index = build(spark, sf_dir)
+    wanted = index.concepts.where(F.col("concept").isin(_ACTIVE)).select(F.lit("q").alias("query_id"), "concept")
+    return index, retrieval.spread_strengths(index, wanted)
+
+
+@query(f"WITH {sql.GRAPH}{sql.LAPLACIAN}{sql.diffusion(_ACTIVE_SQL)} SELECT concept, round(rho, 8) AS rho FROM rho")
+def diffusion(spark, sf_dir):
+    return _rounded(_spread(spark, sf_dir)[1].select("concept", "rho"), "rho", digits=8)
+
+
+@query(f"WITH {sql.GRAPH}{sql.LAPLACIAN}{sql.diffusion(_ACTIVE_SQL)}, s AS (SELECT b1_no, sum(rho) AS score FROM postings JOIN rho USING (concept) GROUP BY 1) SELECT b1_no, round(score, 6) AS score FROM s ORDER BY round(score, 10) DESC, b1_no LIMIT 10")
+def active_beacons(spark, sf_dir):
+    index, rho = _spread(spark, sf_dir)
+    return _rounded(graph.active_beacons(index.postings, rho.select("concept", "rho")), "score")
+
+
+@query(f"WITH {sql.GRAPH}{sql.LAPLACIAN}{sql.diffusion(_ACTIVE_SQL)} SELECT (b1_no - 1) // 10 + 1 AS region, round(sum(rho), 6) AS mass FROM postings JOIN rho USING (concept) GROUP BY 1")
+def region_mass(spark, sf_dir):
+    index, rho = _spread(spark, sf_dir)
+    return _rounded(retrieval.region_mass(index, rho).drop("query_id"), "mass")
+
+
+@query(f"""WITH {sql.GRAPH}, asked AS (SELECT DISTINCT item_id::VARCHAR AS query_id, unnest({sql.tokens("lower(text)")}) AS token FROM benchmark),
+named AS (SELECT DISTINCT concept, unnest({sql.tokens("lower(concept)")}) AS token FROM concepts)
+SELECT query_id, concept FROM named JOIN asked USING (token) GROUP BY ALL HAVING count(*) >= 2 OR max(length(token)) >= 4""")
+def lexical_activation(spark, sf_dir):
+    return retrieval.lexical_concepts(graph.concepts(_triples(spark, sf_dir)), _queries(spark, sf_dir))
+
+
+@query()
+def graph_svd(spark, sf_dir):
+    """Singular values of the stored adjacency that explain 95 % of it, 64 at most."""
+    found = kept(_triples(spark, sf_dir), "triples")
+    ids, e = kept(graph.concepts(found), "concepts"), graph.edges(found)
+    a, b = (ids.select(F.col("concept").alias(c), F.col("idx").alias(i)) for c, i in (("src", "i"), ("dst", "j")))
+    values, right, ratio = compression.svd(kept(e.join(a, "src").join(b, "dst").select("i", "j", F.col("w").alias("v")), "adjacency"))
+    return spark.createDataFrame([(k, float(v), float(ratio)) for k, v in enumerate(values)], "k int, value double, ratio double")
+
+
+@query()
+def compress_report(spark, sf_dir):
+    """One row: ratios of the decomposition and of the projection, near-duplicate pages, and all of it together."""
+    pages = kept(_pages(spark, sf_dir), "pages")
+    vectors_of = kept(hierarchy.beacons(pages), "beacons")
+    found = kept(extraction.triples(pages), "triples")
+    ids, e = graph.concepts(found), graph.edges(found)
+    a, b = (ids.select(F.col("concept").alias(c), F.col("idx").alias(i)) for c, i in (("src", "i"), ("dst", "j")))
+    _, _, ratio = compression.svd(kept(e.join(a, "src").join(b, "dst").select("i", "j", F.col("w").alias("v")), "adjacency"))
+    pairs = compression.near_pairs(vectors_of, 64, id_col="b1_no", vector_col="embedding").agg(F.count("*").alias("near_pages"))
+    embed = 64 / 16
+    return pairs.select(F.lit(float(ratio)).alias("svd_ratio"), F.lit(embed).alias("embedding_ratio"), "near_pages", F.round(F.lit(float(ratio) * embed) * (1 + 0.1 * F.col("near_pages")), 2).alias("total_ratio"))
+
+
+# --- retrieval ---
+
+
+@query(f"""WITH {sql.PAGES}, asked AS (SELECT item_id::VARCHAR AS query_id, list_distinct({sql.tokens("lower(text)")}) AS ws FROM benchmark),
+hit AS (SELECT query_id, page_seq, {sql.estimate("text")} AS token_count, len(list_filter(ws, lambda w: contains(lower(text), w))) / len(ws) AS strength FROM pages_of, asked)
+SELECT query_id, page_seq, printf('page_%07d', page_seq) AS page_id, token_count, round(strength, 6) AS strength FROM hit WHERE strength > 0""")
+def keyword_pages(spark, sf_dir):
+    return _rounded(retrieval.keyword_pages(kept(_pages(spark, sf_dir), "pages"), _queries(spark, sf_dir)), "strength")
+
+
+@query()
+def keyword_collapse(spark, sf_dir):
+    return retrieval.keyword_collapse(kept(_pages(spark, sf_dir), "pages"), _queries(spark, sf_dir))
+
+
+@query(f"""WITH {sql.PAGES}, asked AS (SELECT item_id::VARCHAR AS query_id, list_distinct(list_filter(list_transform({sql.tokens('lower(text)')}, lambda t: trim(t, {sql.PUNCT})), lambda t: length(t) >= 3 AND NOT list_contains({sql.listed(fixed.STOP_FILTER)}, t))) AS es FROM benchmark)
+SELECT query_id, count(*) AS n_pages FROM pages_of, asked WHERE len(list_filter(es, lambda e: contains(lower(text), e))) > 0 GROUP BY 1""")
+def entity_filter(spark, sf_dir):
+    asked = _queries(spark, sf_dir).select("query_id", text.clean_entities(F.col("query"), fixed.STOP_FILTER).alias("es"))
+    pages = kept(_pages(spark, sf_dir), "pages").select(F.lower("text").alias("lower"))
+    joined = pages.join(F.broadcast(asked), F.exists("es", lambda e: F.contains(F.col("lower"), e)))
+    return joined.groupBy("query_id").agg(F.count("*").alias("n_pages"))
+
+
+@query()
+def greedy_pack(spark, sf_dir):
+    """Documents of each source packed by the rare words they hold."""
+    docs = _docs(spark, sf_dir)
+    words = docs.select("doc_id", "source", F.explode(text.embedding_terms(F.col("text"))).alias("w"))
+    coverage = words.groupBy("doc_id", "source").agg(F.map_from_entries(F.collect_list(F.struct("w", F.lit(1.0).alias("s")))).alias("coverage"))
+    rows = docs.select("doc_id", text.token_estimate(F.col("text")).alias("tokens")).join(coverage, "doc_id")
+    return packing.pack_groups(rows.select(F.col("source").alias("key"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "tokens", "coverage", F.lit(1.0).alias("strength"), F.lit(4096).alias("budget")))
+
+
+@query()
+def collapse(spark, sf_dir):
+    return retrieval.collapse(build(spark, sf_dir), _queries(spark, sf_dir))
+
+
+# --- entities, relations, facts ---
+
+
+@query("WITH m AS (SELECT unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)) AS n FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) SELECT " + sql.entity_id("n") + " AS entity_id, lower(trim(n)) AS name, count(*) AS frequency FROM m GROUP BY ALL")
+def entities(spark, sf_dir):
+    # As for answers: word boundaries beside other than ASCII letters differ between the engines.
+    return entity_store.entities(extraction.entities(_docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))))
+
+
+_RELATIONS = f"""
+rel_found AS (SELECT doc_id, {", ".join(f"regexp_extract_all(text, {sql.q(sql.RELATION)}, {g}) AS g{g}" for g in (1, 2, 3))} FROM documents),
+rel_rows AS (SELECT lower(g1[i]) AS subject, lower(g2[i]) AS predicate, lower(g3[i]) AS object FROM (SELECT *, unnest(range(1, len(g1) + 1)) AS i FROM rel_found)),
+rel_kept AS (SELECT * FROM rel_rows WHERE NOT list_contains({sql.listed(fixed.ARTICLES)}, subject) AND NOT list_contains({sql.listed(fixed.ARTICLES)}, object)),
+rels AS MATERIALIZED (SELECT 'r_' || substr(md5(s || '|' || predicate || '|' || o), 1, 12) AS relation_id, s AS subject_id, predicate, o AS object_id, count(*) AS frequency, 1.0::DOUBLE AS weight
+  FROM (SELECT {sql.entity_id("subject")} AS s, predicate, {sql.entity_id("object")} AS o FROM rel_kept) GROUP BY s, predicate, o)"""
+
+
+def _relations(spark, sf_dir):
+    return entity_store.relations(extraction.relations(_docs(spark, sf_dir)).withColumn("weight", F.lit(1.0)))
+
+
+@query(f"WITH {_RELATIONS} SELECT * FROM rels")
+def relations(spark, sf_dir):
+    return _relations(spark, sf_dir)
+
+
+_FACTS = f"""
+fact_found AS (SELECT 0 AS k, doc_id, regexp_extract_all(text, {sql.q(sql.HAS)}, 1) AS g1, regexp_extract_all(text, {sql.q(sql.HAS)}, 2) AS g2 FROM documents UNION ALL SELECT 1, doc_id, regexp_extract_all(text, {sql.q(sql.IS)}, 1), regexp_extract_all(text, {sql.q(sql.IS)}, 2) FROM documents),
+fact_rows AS (SELECT lower(g1[i]) AS entity, lower(g2[i]) AS value FROM (SELECT *, unnest(range(1, len(g1) + 1)) AS i FROM fact_found)),
+facts AS MATERIALIZED (SELECT DISTINCT 'f_' || substr(md5(e || '|attribute|' || value), 1, 12) AS fact_id, e AS entity_id, 'attribute' AS attribute, value, 1.0::DOUBLE AS confidence FROM (SELECT {sql.entity_id("entity")} AS e, value FROM fact_rows WHERE length(entity) >= 2 AND length(value) >= 2))"""
+
+
+def _facts(spark, sf_dir):
+    return entity_store.facts(extraction.facts(_docs(spark, sf_dir)).withColumn("confidence", F.lit(1.0)))
+
+
+@query(f"WITH {_FACTS} SELECT * FROM facts")
+def facts(spark, sf_dir):
+    return _facts(spark, sf_dir)
+
+
+@query(f"WITH {_RELATIONS} SELECT predicate, count(*) AS n, min(relation_id) AS first FROM rels GROUP BY 1")
+def predicate_index(spark, sf_dir):
+    return entity_store.predicate_index(_relations(spark, sf_dir)).groupBy("predicate").agg(F.count("*").alias("n"), F.min("relation_id").alias("first"))
+
+
+@query(f"WITH {_RELATIONS}, w AS (SELECT DISTINCT subject_id AS entity_id FROM rels WHERE predicate = 'was') SELECT entity_id, relation_id, 'subject' AS role FROM w JOIN rels ON entity_id = subject_id UNION ALL SELECT entity_id, relation_id, 'object' FROM w JOIN rels ON entity_id = object_id")
+def entity_relations(spark, sf_dir):
+    rels = kept(_relations(spark, sf_dir), "relations")
+    wanted = rels.where("predicate = 'was'").select(F.col("subject_id").alias("entity_id")).distinct()
+    return entity_store.relations_of(rels, wanted).select("entity_id", "relation_id", "role")
+
+
+@query(f"WITH {_FACTS}, w AS (SELECT entity_id FROM facts GROUP BY 1 HAVING count(*) >= 2) SELECT entity_id, fact_id, value FROM w JOIN facts USING (entity_id)")
+def entity_facts(spark, sf_dir):
+    found = kept(_facts(spark, sf_dir), "facts")
+    wanted = found.groupBy("entity_id").agg(F.count("*").alias("n")).where("n >= 2").select("entity_id")
+    return entity_store.facts_of(found, wanted).select("entity_id", "fact_id", "value")
+
+
+@query(f"WITH {_RELATIONS} SELECT subject_id AS src, object_id AS dst, sum(weight) AS w FROM rels GROUP BY ALL")
+def entity_adjacency(spark, sf_dir):
+    rels = kept(_relations(spark, sf_dir), "relations")
+    ends = rels.select(F.col("subject_id").alias("entity_id")).unionByName(rels.select(F.col("object_id").alias("entity_id"))).distinct()
+    return entity_store.adjacency(rels, ends)
+
+
+@query("SELECT source AS name, count(*) AS frequency FROM documents GROUP BY 1 ORDER BY frequency DESC, name LIMIT 5")
+def keep_top(spark, sf_dir):
+    counts = _docs(spark, sf_dir).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("frequency"))
+    return entity_store.keep_top(counts, 5, F.desc("frequency"), "name")
+
+
+@query(f"""WITH {_RELATIONS},{_FACTS}, c AS (SELECT (SELECT sum(length(text)) FROM documents) AS chars, (SELECT count(*) FROM (SELECT subject_id FROM rels UNION SELECT object_id FROM rels)) AS e, (SELECT count(*) FROM rels) AS r, (SELECT count(*) FROM facts) AS f, (SELECT count(*) FROM (SELECT DISTINCT subject_id, object_id FROM rels)) AS a)
+SELECT chars::BIGINT AS total_text_chars, e AS total_entities, r AS total_relations, f AS total_facts, round(chars / (e * 50 + r * 40 + f * 60 + a * 8 + (e + 1) * 4), 6) AS compression_ratio, round(chars / 1048576, 6) AS estimated_original_mb, round((e * 50 + r * 40 + f * 60) / 1024, 6) AS estimated_compressed_kb FROM c""")
+def store_statistics(spark, sf_dir):
+    rels = kept(_relations(spark, sf_dir), "relations")
+    ends = kept(rels.select(F.col("subject_id").alias("entity_id")).unionByName(rels.select(F.col("object_id").alias("entity_id"))).distinct(), "ends")
+    out = entity_store.statistics(_docs(spark, sf_dir), ends, rels, _facts(spark, sf_dir), entity_store.adjacency(rels, ends))
+    return _rounded(out, "compression_ratio", "estimated_original_mb", "estimated_compressed_kb")
+
+
+@query()
+def entity_similarity(spark, sf_dir):
+    found = entity_store.entities(extraction.entities(_docs(spark, sf_dir)))
+    return entity_store.similar(found, "the thing of it")
+
+
+@query()
+def extraction_counts(spark, sf_dir):
+    return extraction.extraction_counts(_docs(spark, sf_dir))
+
+
+# --- evaluation ---
+
+_NORM = r"list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda t: t <> '' AND NOT list_contains(['a', 'an', 'the'], t))"
+
+
+@query(f"""WITH p AS (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN text END) AS gold, max(CASE WHEN turn = 1 THEN text END) AS prediction FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '(?i)\\b(a|an|the)\\b[^\\s]|[^\\s]\\b(a|an|the)\\b') GROUP BY 1 HAVING gold IS NOT NULL AND prediction IS NOT NULL),
+t AS (SELECT id, {_NORM.format("prediction")} AS a, {_NORM.format("gold")} AS b FROM p),
+s AS (SELECT id, a, b, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS common FROM t)
+SELECT id, round(CASE WHEN coalesce(common, 0) > 0 THEN 2 * common / (len(a) + len(b)) ELSE 0.0 END, 6)::DOUBLE AS f1, (array_to_string(a, ' ') = array_to_string(b, ' '))::INT::DOUBLE AS em FROM s""")
+def token_f1(spark, sf_dir):
+    """The first two turns of each conversation; where articles touch other characters the engines' boundaries differ."""
+    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"(?i)\b(a|an|the)\b[^\s]|[^\s]\b(a|an|the)\b"))
+    pick = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    pairs = c.groupBy(F.col("conv_id").alias("id")).agg(pick(0).alias("gold"), pick(1).alias("prediction")).where("gold IS NOT NULL AND prediction IS NOT NULL")
+    return _rounded(evaluation.token_f1(pairs), "f1")
+
+
+@query("""WITH r AS (SELECT user_id % 100 AS query_id, event_id, value, row_number() OVER (PARTITION BY user_id % 100 ORDER BY value DESC, event_id) AS rank FROM events),
+t AS (SELECT DISTINCT user_id % 100 AS query_id, event_id FROM events WHERE event_type = 'click' OR event_type = 'purchase'),
+p AS (SELECT t.query_id, count(*) AS wanted, count(r.rank) FILTER (r.rank <= 5) AS at_k, min(r.rank) AS first FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.event_id = t.event_id GROUP BY 1),
+s AS (SELECT query_id, least(5, count(*)) AS seen FROM r GROUP BY 1)
+SELECT round(avg(at_k / seen), 6) AS precision, round(avg(at_k / wanted), 6) AS recall, avg((first <= 1)::INT)::DOUBLE AS hits_1, avg((first <= 5)::INT)::DOUBLE AS hits_k, round(avg(1 / first), 6) AS mrr, count(*) AS n FROM p JOIN s USING (query_id)""")
+def ranking_metrics(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("query_id"), F.col("event_id").alias("item"), "value", "event_type")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "item"))
+    truth = e.where("event_type IN ('click', 'purchase')").select("query_id", "item").distinct()
+    return _rounded(evaluation.ranking(e.withColumn("rank", rank).select("query_id", "rank", "item"), truth), "precision", "recall", "mrr")
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (i = floor(n * 0.5::DOUBLE)) AS p50, max(value) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95, max(value) FILTER (i = floor(n * 0.99::DOUBLE)) AS p99 FROM r GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return evaluation.index_percentiles(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def latency_summary(spark, sf_dir):
+    return _rounded(evaluation.summary(table(spark, sf_dir, "events"), "event_type", "value"), "mean", "std", "median", "p95", "p99")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
+def memory_fit(spark, sf_dir):
+    fit = evaluation.line_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return fit.select(F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+@query(f"WITH {sql.PAGES} SELECT sum(strlen(text))::BIGINT AS text_bytes, count(*) * 128 AS b1_bytes, ceil(count(*) / 10)::BIGINT * 640 AS b2_bytes, ceil(count(*) / 100)::BIGINT * 440 AS b3_bytes FROM pages_of")
+def stored_bytes(spark, sf_dir):
+    return evaluation.stored_bytes(_pages(spark, sf_dir), 64)
+
+
+@query(f"""WITH have AS (SELECT DISTINCT doc_id % 40 AS query_id, unnest({sql.tokens("lower(text)")}) AS word FROM documents),
+want AS (SELECT item_id % 40 AS query_id, item_id AS fact_id, unnest(list_distinct({sql.tokens("lower(text)")})) AS word FROM benchmark),
+f AS (SELECT query_id, fact_id, count(have.word) > count(*) * 0.5 AS found FROM want LEFT JOIN have USING (query_id, word) GROUP BY ALL)
+SELECT query_id, round(avg(found::INT), 6) AS recall FROM f GROUP BY 1""")
+def supported_facts(spark, sf_dir):
+    retrieved = _docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("query_id"), "text")
+    wanted = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 40).alias("query_id"), F.col("item_id").alias("fact_id"), F.col("text").alias("sentence"))
+    return _rounded(evaluation.supported(retrieved, wanted), "recall")
+
+
+@query()
+def short_answers(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", answering.answers(F.array("text"), F.concat(F.lit("What is "), F.substring("text", 1, 40), F.lit("?"))).alias("answer"))
+
+
+@query()
+def cloze_queries(spark, sf_dir):
+    return corpora.cloze_queries(_docs(spark, sf_dir), 100)
+
+
+@query()
+def needle_recall(spark, sf_dir):
+    """Whether pages with each needle are returned, over a made-up corpus of 40 000 tokens."""
+    docs, made = corpora.needles(spark, 10, 40_000)
+    pages = kept(paging.pages(docs), "pages")
+    asked = spark.createDataFrame([(str(n["id"]), n["subject"], 4096, []) for n in made], "query_id string, query string, max_tokens int, required array<string>")
+    found = retrieval.keyword_collapse(pages, asked).select("query_id", F.explode("page_ids").alias("page_id")).join(pages, "page_id")
+    truth = spark.createDataFrame([(str(n["id"]), n["answer"]) for n in made], "query_id string, answer string")
+    return found.join(truth, "query_id").groupBy("query_id").agg(F.max(F.contains(F.lower("text"), F.col("answer")).cast("int")).alias("found"))
+
+
+@query()
+def cross_reference_corpus(spark, sf_dir):
+    return paging.pages(corpora.cross_references(spark, 100_000, 40_000)).select("page_seq", "token_count")
+
+
+# --- streaming and serving ---
+
+
+@query(ORACLES["page_slices"])
+def stream_ingest(spark, sf_dir):
+    """Pages of a file stream, taken in as it comes; the same as those of a batch."""
+    path = shared_folder(spark, "stream")
+    _docs(spark, sf_dir).select("doc_id", "text").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/in")
+    taker = ingest.Ingest(spark, path)
+    taker.start(spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")).awaitTermination()
+    return taker.pages().select("page_seq", "page_id", F.md5("text").alias("text_md5"), F.col("token_count").cast("long").alias("token_count"))
+
+
+@query(f"SELECT user_id AS key, date_trunc('day', ts)::TIMESTAMP AS day, round(sum(value * pow({1 - fixed.GAMMA!r}::DOUBLE, (epoch(date_trunc('day', ts)) + 86400 - floor(epoch(ts))) / 3600.0::DOUBLE)), 4) AS score FROM events GROUP BY ALL")
+def decayed_scores(spark, sf_dir):
+    out = ingest.decayed_scores(table(spark, sf_dir, "events"), "user_id", "value", "ts")
+    return _rounded(out, "score", digits=4)
+
+
+@query("SELECT item_id AS id, text AS query, 4096 AS max_tokens FROM benchmark")
+def rpc_requests(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    line = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("item_id").cast("string").alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit("collapse").alias("name"), F.struct(F.col("text").alias("query")).alias("arguments")).alias("params")))
+    return rpc.requests(b.select(line.alias("value"))).where("error IS NULL").select(F.col("id").cast("long").alias("id"), "query", "max_tokens")
+
