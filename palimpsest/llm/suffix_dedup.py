@@ -107,48 +107,74 @@ def _blocks(length: int, block_bytes: int):
 # --- anchors ---
 
 
+MIX = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Windows whose anchors are chosen at a time: their arrays stay in a core's cache.
+TILE = 16_384
+
+
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     """Of the ``gram`` (a power of two) bytes at each place, by doubling."""
-    mix = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    h = (raw.astype(np.uint64) + np.uint64(1)) * mix[0]
+    h = (raw.astype(np.uint64) + np.uint64(1)) * MIX[0]
     h ^= h >> np.uint64(32)
     step = 1
     while step < gram:
         k = step.bit_length()
-        h = h[: len(h) - step] * mix[2 * k] + h[step:] * mix[2 * k + 1]
+        ahead = h[step:] * MIX[2 * k + 1]
+        h = h[: len(h) - step] * MIX[2 * k]
+        h += ahead
         h ^= h >> np.uint64(29)
         step *= 2
-    return h * mix[63]
+    h *= MIX[63]
+    return h
+
+
+def _chosen(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, its hash) of the window at each place of ``raw``: the leftmost of the smallest hashes' upper halves."""
+    n = len(raw) - length + 1
+    at, hashes = np.empty(n, np.int64), np.empty(n, np.uint64)
+    width = length - gram + 1
+    for start in range(0, n, TILE):
+        stop = min(n, start + TILE)
+        own = gram_hashes(raw[start : stop + length - 1], gram)
+        low = own & np.uint64(0xFFFFFFFF00000000)
+        low |= np.arange(len(own), dtype=np.uint64)
+        span = 1
+        while 2 * span <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < width:
+            low = np.minimum(low[: span - width], low[width - span :])
+        low &= np.uint64(0xFFFFFFFF)
+        place = low.view(np.int64)
+        np.take(own, place, out=hashes[start:stop])
+        np.add(place, start, out=at[start:stop])
+    return at, hashes
 
 
 def anchors(raw: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(first window, last window, anchor, anchor's hash) of stretches of windows with one anchor; none crosses a text."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return none, none, none, np.zeros(0, np.uint64)
-    hashes = gram_hashes(raw, gram)
-    low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    width, span = length - gram + 1, 1
-    while 2 * span <= width:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    long = sizes >= length
-    inside = np.zeros(len(at) + 1, np.int8)
-    np.add.at(inside, (ends - sizes)[long], 1)
-    np.add.at(inside, (ends - length + 1)[long], -1)
-    windows = np.flatnonzero(np.cumsum(inside[:-1]))
-    if not len(windows):
+    n = len(raw) - length + 1
+    ends, long = np.cumsum(sizes), sizes >= length
+    if not long.any():
+        none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    chosen = at[windows]
-    new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (np.diff(windows) != 1)])
-    first = windows[new]
-    last = windows[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(windows) - 1]])]
-    anchor = chosen[new]
-    return first, last, anchor, hashes[anchor]
+    at, hashes = _chosen(raw, length, gram)
+    begins, stops = (ends - sizes)[long], (ends - length + 1)[long]
+    inside = np.zeros(n + 1, np.int8)
+    inside[begins] += 1
+    inside[stops] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    new[begins] = True
+    first = np.flatnonzero(new & inside)
+    over = np.empty(n, bool)
+    over[-1] = True
+    over[:-1] = new[1:]
+    over[stops - 1] = True
+    last = np.flatnonzero(over & inside)
+    return first, last, at[first], hashes[first]
 
 
 class Pieces:
