@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions import fixed, text, vectors
 from ..operators import answers as answering
 from ..operators import compression, entity_store, evaluation, extraction, graph, hierarchy, packing, retrieval
 from ..sources import corpora, paging, rpc
+from ..sources.store import kept, shared_folder
 from ..streaming import ingest
 from . import sql
 
@@ -45,18 +45,6 @@ def _triples(spark, sf_dir):
     return extraction.triples(_pages(spark, sf_dir))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written and read back: used more than once, computed once."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     # Adding zero turns -0.0 into 0.0.
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})

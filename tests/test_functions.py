@@ -1,0 +1,66 @@
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions import fixed, text, vectors
+
+
+def column(spark, expression, *values, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i long, x {kind}")
+    return [r[0] for r in df.orderBy("i").select(expression(F.col("x"))).collect()]
+
+
+def test_token_estimates(spark):
+    assert column(spark, text.token_estimate, "", "a", " ".join("a" * 7), " ".join("a" * 10), " ".join("a" * 1000)) == [1, 1, 7, 11, 1100]
+
+
+@pytest.mark.parametrize("sample", ["a b\tc\nd", "  a b c ", "a\x1cb\x1fc\x0bd", "", " "])
+def test_tokens_are_those_of_split(spark, sample):
+    assert column(spark, text.tokens, sample) == [sample.split()]
+
+
+def test_embedding_terms(spark):
+    sample = "The (the) cat, sat. on !!! a Cat THE mat"
+    seen = list(dict.fromkeys(w.strip(fixed.PUNCTUATION) for w in sample.lower().split() if len(w) >= 3))
+    assert column(spark, text.embedding_terms, sample) == [seen]
+
+
+def test_concepts(spark):
+    assert column(spark, text.is_concept, "a", "ab", "a1", "x yz", "42 7", "", "é é", "éé") == [False, True, False, True, False, False, False, True]
+
+
+def test_concept_hash(spark):
+    assert column(spark, vectors.concept_hash, "quantum") == [1606883351]
+    assert vectors.hash_of("quantum") == int(hashlib.md5(b"quantum").hexdigest(), 16) % 2**31
+
+
+def test_embedding_agrees_with_numpy(spark):
+    got = column(spark, lambda c: vectors.concept_embedding(c, 12), "one", "two", "zwölf")
+    assert np.allclose(got, vectors.embed(["one", "two", "zwölf"], 12), atol=1e-9)
+    with pytest.raises(ValueError):
+        vectors.embed([], 4)
+
+
+def test_buckets_agree_with_numpy(spark):
+    x = np.random.RandomState(0).randn(40, 16)
+    a, b = vectors.lsh_planes(16, 4, 2.0, 42)
+    got = column(spark, lambda c: vectors.bucket(c, 16, 4, 2.0), *x.tolist(), kind="array<double>")
+    assert got == np.floor((x @ a.T + b) / 2.0).astype(int).tolist()
+
+
+def test_distances(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 5.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
+    a, b = F.col("a"), F.col("b")
+    row = df.select(vectors.cosine(a, b), vectors.square_distance(a, b), vectors.rbf(a, b), vectors.cosine(a, F.col("z"))).first()
+    assert row[0] == pytest.approx(13 / math.sqrt(5 * 34)) and row[1] == 13 and row[2] == pytest.approx(math.exp(-13)) and row[3] is None
+
+
+def test_stop_lists_grow():
+    assert set(fixed.STOP_RAW) < set(fixed.STOP_CLEAN) < set(fixed.STOP_FILTER)
+
+
+def test_normalised_answer(spark):
+    assert column(spark, text.normalised_answer, "The  Cat's, a hat!", "an") == ["cats hat", ""]
