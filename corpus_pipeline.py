@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from palimpsest.llm.common import scratch, table, written
+from palimpsest.llm.common import scratch, table, without, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest identifier stays."""
     groups = simhash.near_duplicates(docs)
-    gone = written(groups.where("NOT doc_id <=> component_id").select("doc_id").distinct(), "near")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    return without(docs, written(groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near"), "doc_id")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import lean, texts_of
 
 #: Characters of a chunk's own, and those it shares with the next one.
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 1_024
 #: A boundary this close to the end of a chunk may depend on what follows (contractions look three characters ahead).
 LOOKAHEAD = 8
 #: Pre-tokens remembered by a worker.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 120_000
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -199,10 +199,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                     join = digest = None
             yield _results(rows)
 
-    chunks = long.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text").mapInArrow(deal, "rid long, doc_id long, start long, last boolean, chars string")
-    encoded = chunks.repartition(F.col("rid"), F.col("start")).mapInArrow(encode_chunks, "rid long, doc_id long, start long, last boolean, chars string, ends binary, sizes binary, ids binary")
-    stitched = encoded.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(stitch, RESULT)
-    return short.mapInArrow(whole, RESULT).unionByName(stitched)
+    chunks = long.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text").mapInArrow(lean(deal), "rid long, doc_id long, start long, last boolean, chars string")
+    encoded = chunks.repartition(F.col("rid"), F.col("start")).mapInArrow(lean(encode_chunks), "rid long, doc_id long, start long, last boolean, chars string, ends binary, sizes binary, ids binary")
+    stitched = encoded.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(lean(stitch), RESULT)
+    return short.mapInArrow(lean(whole), RESULT).unionByName(stitched)
 
 
 def encode_text(text: str | None, ranks_path: str, pattern: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:

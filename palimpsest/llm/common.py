@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,3 +49,61 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Of a bitmap filter over keys: 1 MiB whatever their number, in rows of 4 KiB. A full one only costs time.
+FILTER_BITS, ROW_BITS = 1 << 23, 1 << 15
+
+
+def bit_position(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """(bucket, bits): a filter over a column; at most FILTER_BITS / ROW_BITS rows."""
+    at = bit_position(F.col(column))
+    return keys.groupBy(F.floor(at / ROW_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(ROW_BITS))).alias("bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame, key: Column, flag: str) -> DataFrame:
+    """``rows`` with a column that is false where the filter can't have the key; broadcasts the filter, whose size is fixed."""
+    at = bit_position(key)
+    bit = F.pmod(at, F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.col("__bits").substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    named = bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    joined = rows.join(F.broadcast(named), F.floor(at / ROW_BITS) == F.col("__bucket"), "left")
+    set_ = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return joined.withColumn(flag, F.coalesce(set_, F.lit(False))).drop("__bucket", "__bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, id_col: str, prepare=lambda df: df, condition=None) -> DataFrame:
+    """``rows`` less those that match a row of ``gone`` (__id and what ``condition`` asks for); all columns stay.
+
+    Rows that a filter over __id lets pass never move; the others, few unless the filter is full, meet ``gone`` in a join.
+    ``prepare`` adds to these what ``condition`` needs.
+    """
+    flagged = marked(rows, bitmap(gone, "__id"), rows[id_col].cast("long"), "__may")
+    doubtful = prepare(flagged.where("__may"))
+    same = doubtful[id_col].cast("long").eqNullSafe(gone["__id"])
+    left = doubtful.join(gone, same if condition is None else same & condition(doubtful), "left_anti")
+    return flagged.where("NOT __may").select(*rows.columns).unionByName(left.select(*rows.columns))
+
+
+def _give_back() -> None:
+    """Idle workers stay until the next stage; their memory is the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def lean(run):
+    """A function for mapInArrow or mapInPandas that gives memory back when its partition is done."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        _give_back()
+
+    return wrapped

@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index for each shard of the training texts.
 
-Each Arrow batch of documents is a shard. Its words become integers: those of the test phrases a number each, all others
+Documents of one task, SHARD_BYTES at a time, are a shard. Its words become integers: those of the test phrases a number each, all others
 a separator, since no phrase holds them; runs too short to hold the shortest phrase are left out. An FM-index over the
 shard answers all phrases at once by backward search through wavelet-matrix ranks; occurrences are located from sampled
 suffix positions and merged into removal spans. Documents are never shuffled.
@@ -15,7 +15,7 @@ judged each; either table may be empty; other columns are ignored by ``find`` an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import lean, texts_of, written
 from .fm_index import FMIndex
 
 WINDOW = 10
 #: Of item texts that are broadcast at a time.
 BLOCK_BYTES = 32 << 20
+#: Of the texts of a shard.
+SHARD_BYTES = 8 << 20
 #: Of a text that is cut into words at a time.
 SLICE_BYTES = 4 << 20
 #: Bytes that are not part of words become spaces, A to Z lower case.
@@ -80,8 +82,18 @@ class Phrases:
             row[window - len(phrase) :] = phrase
         self.owners = [np.array(sorted(o), np.int64) for o in owners.values()]
 
-    def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-        """Of each text: number of words, merged spans of hit words, items with occurrences."""
+    def scan(self, texts: Iterable[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """Of each text: number of words, merged spans of hit words, items with occurrences; shard by shard."""
+        results, shard, size = [], [], 0
+        for text in texts:
+            shard.append(text)
+            size += len(text)
+            if size >= SHARD_BYTES:
+                results += self._scan(shard)
+                shard, size = [], 0
+        return results + self._scan(shard)
+
+    def _scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         get, parts, counts = self.vocabulary.get, [], []
         for text in texts:
             n = 0
@@ -166,10 +178,9 @@ def _find(keyed: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [t.as_py().encode() for t in batch.column(2)]
-                yield _found(batch, shared.value.scan(texts))
+                yield _found(batch, shared.value.scan(t.as_py().encode() for t in batch.column(2)))
 
-        return keyed.mapInArrow(scan, FOUND)
+        return keyed.mapInArrow(lean(scan), FOUND)
 
     found = [search(p) for p in _blocks(_items(benchmark, item_col, item_text_col), block_bytes, window)[1]]
     if len(found) == 1:
@@ -184,7 +195,7 @@ def _find(keyed: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
             results = [(n, _merge([(s["start"], s["stop"]) for s in spans]), items) for n, spans, items in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield _found(batch, results)
 
-    return grouped.mapInArrow(merge, FOUND)
+    return grouped.mapInArrow(lean(merge), FOUND)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -217,9 +228,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield emit(batch, [r[1] for r in shared.value.scan([(t.as_py() or "").encode() for t in batch.column(at)])])
+                yield emit(batch, [r[1] for r in shared.value.scan((t.as_py() or "").encode() for t in batch.column(at))])
 
-        return docs.mapInArrow(cut, docs.schema)
+        return docs.mapInArrow(lean(cut), docs.schema)
 
     keyed = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "keyed")
     found = _find(keyed.select(F.col("__rid").alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), benchmark, window, block_bytes, "item_id", "text")
@@ -230,4 +241,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block
             yield emit(batch, [[(x["start"], x["stop"]) for x in s or ()] for s in batch.column(len(names)).to_pylist()])
 
     joined = keyed.join(spans, "__rid", "left").select(*[keyed[c] for c in names], "__spans")
-    return joined.mapInArrow(cut_joined, docs.schema)
+    return joined.mapInArrow(lean(cut_joined), docs.schema)

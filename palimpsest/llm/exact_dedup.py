@@ -6,7 +6,7 @@ with a Bloom filter and minimum/maximum statistics on the digest in the file's f
 identifier and the number of rows. Counts are combined before the shuffle, so a digest of a third of all rows
 reaches the merge as one row for each task.
 *Byte verification.* A digest held by more than one row is a hit. Hits are found in the texts by a bitmap filter of
-fixed size (``FILTER_BITS``; a full filter only costs time), then grouped by digest **and** whole normalised
+fixed size (a full filter only costs time), then grouped by digest **and** whole normalised
 text, again combined before the shuffle; texts that differ under one digest become classes of their own.
 
 Defined results: a null text counts as empty; a row without identifier stays only if no equal row
@@ -19,13 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, texts_of, written
+from .common import bitmap, marked, scratch, texts_of, without, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Of the filter over hits; 1 MiB, whatever the size of the input.
-FILTER_BITS = 1 << 23
-#: Bits of a row of the filter, as bitmap_construct_agg makes them.
-ROW_BITS = 1 << 15
 
 
 def normalised(text: Column) -> Column:
@@ -37,11 +33,6 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _position() -> Column:
-    """Of the digest's bit in the filter."""
-    return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-
-
 class DigestIndex:
     """Runs of (digest, id) in a folder; level 0 as flushed, level 1 compacted."""
 
@@ -67,19 +58,6 @@ class DigestIndex:
         return self.spark.read.schema("digest binary, low long, high long, n long").parquet(target)
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """Bitmap of the hits' digests: at most FILTER_BITS / ROW_BITS rows of 4 KiB."""
-    return hits.groupBy(F.floor(_position() / ROW_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(_position(), F.lit(ROW_BITS))).alias("bits"))
-
-
-def may_hit(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Rows whose digest the filter may have; broadcasts the bitmap, whose size is fixed."""
-    bit = F.pmod(_position(), F.lit(ROW_BITS))
-    byte = F.conv(F.hex(F.col("bits").substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("bucket", F.floor(_position() / ROW_BITS)).join(F.broadcast(bitmap), "bucket")
-    return found.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).drop("bucket", "bits")
-
-
 def classes(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -95,7 +73,8 @@ def classes(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id",
     # Byte verification of the hits.
     hits = merged.where("n > 1")
     verified = (
-        may_hit(digested, hit_filter(hits))
+        marked(digested, bitmap(hits, "digest"), F.col("digest"), "may")
+        .where("may")
         .groupBy("digest", "ntext")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     )
@@ -116,17 +95,20 @@ def classes(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id",
 def keep_one(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less the rows that have an equal text elsewhere; all columns stay.
 
-    Only the identifiers and digests of what goes meet the texts, as a broadcast if their table is small. Repeated rows
-    that share identifier and text count as one; one of them stays.
+    Texts that stay don't move, but for those that share a bit of the filter with one that goes. Repeated rows that share
+    identifier and text count as one; one of them stays.
     """
-    marked = written(classes(docs, keep=keep, id_col=id_col, text_col=text_col).select("doc_id", "kept", "group_size", F.unhex("text_sha256").alias("digest")), "classes")
-    gone = marked.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    own = docs.withColumn("__own", digest_of(normalised(F.coalesce(docs[text_col].cast("string"), F.lit("")))))
-    same = F.col("__own") == F.col("__digest")
-    left = own.join(written(gone, "gone"), same & own[id_col].cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    repeated = written(marked.where("kept AND group_size > 1").groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")), "repeated")
+    every = written(classes(docs, keep=keep, id_col=id_col, text_col=text_col).select("doc_id", "kept", "group_size", F.unhex("text_sha256").alias("digest")), "classes")
+    named = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+
+    def digested(df: DataFrame) -> DataFrame:
+        return df.withColumn("__own", digest_of(normalised(F.coalesce(df[text_col].cast("string"), F.lit("")))))
+
+    gone = written(every.where(~F.col("kept")).select(*named).distinct(), "gone")
+    left = without(docs, gone, id_col, digested, lambda df: df["__own"] == gone["__digest"])
+    repeated = written(every.where("kept AND group_size > 1").groupBy("doc_id", "digest").count().where("count > 1").select(*named), "repeated")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    match = same & left[id_col].cast("long").eqNullSafe(F.col("__id"))
-    once = left.join(repeated, match, "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(repeated, match, "left_semi").dropDuplicates([id_col, "__own"]).select(*docs.columns))
+        return left
+    once = without(left, repeated, id_col, digested, lambda df: df["__own"] == repeated["__digest"])
+    again = digested(left).join(repeated, (F.col("__own") == F.col("__digest")) & left[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, "__own"]).select(*docs.columns))

@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import FILTER_BITS, ROW_BITS, bitmap, lean, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which a term is a span, and from which it is removed rather than generalised.
 THRESHOLD, REMOVAL = 0.8, 0.95
 #: Words on each side of an entity that count as near, characters looked at for them, and the least bytes of a term.
 NEAR_WORDS, NEAR_CHARS, LEAST_BYTES = 8, 400, 3
-FILTER_BITS, ROW_BITS = 1 << 23, 1 << 15
 #: Words whose place in the filter a worker remembers.
 CACHE_WORDS = 500_000
 
@@ -142,9 +141,8 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap_of(terms: DataFrame) -> bytes:
     """Filter over the column ``term``; FILTER_BITS long whatever the number of rows."""
-    at = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
     out = bytearray(FILTER_BITS // 8)
-    for bucket, bits in terms.groupBy(F.floor(at / ROW_BITS)).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(ROW_BITS)))).collect():
+    for bucket, bits in bitmap(terms, "term").collect():
         out[bucket * ROW_BITS // 8 : (bucket + 1) * ROW_BITS // 8] = bits
     return bytes(out)
 
@@ -188,7 +186,7 @@ def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     def emit(total: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    return texts.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return texts.select("text").mapInArrow(lean(count), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(base: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -243,7 +241,7 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
             kinds = [pa.binary(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "term", "starts", "ends"])
 
-    places = texts.select("text").mapInArrow(locate, TERM_SPANS).dropDuplicates(["digest", "term"]).join(terms, "term")
+    places = texts.select("text").mapInArrow(lean(locate), TERM_SPANS).dropDuplicates(["digest", "term"]).join(terms, "term")
     rows = places.select("digest", F.explode(F.arrays_zip("starts", "ends")).alias("p"), "term", "disclosure")
     return rows.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(F.col("p.starts").alias("start"), F.col("p.ends").alias("end"), "term", "disclosure"))).alias("terms"))
 
@@ -251,7 +249,7 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def find(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (spans as kind:start:end), terms (start, end, term, disclosure)."""
     texts = texts_of(docs, id_col, text_col)
-    base = written(texts.mapInArrow(_base, BASE), "entities")
+    base = written(texts.mapInArrow(lean(_base), BASE), "entities")
     terms = written(disclosing(base, texts, threshold), "terms")
     return base.join(written(term_spans(texts, terms), "spans"), "digest", "left").drop("digest", "near", "entities")
 

@@ -20,7 +20,7 @@ text "null" for the fold; repeated rows are scored each; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import lean, texts_of
 
 MAX_LABELLED, DIMENSIONS, NEIGHBOURS = 4_096, 48, 25
 #: How fast a neighbour's weight falls as its cosine falls behind the best one.
 SHARPNESS = 20.0
 #: Bytes and texts whose terms are counted at a time.
-BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 256
+BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 256
 CLASSES = 16
 TRIGRAMS = CLASSES**3
 #: After the trigrams: repeats of the word before, words seen before, lines seen before; then one for each length in powers of two.
@@ -81,15 +81,17 @@ def counted(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and (total + len(text) > BLOCK_BYTES or i - start >= BLOCK_TEXTS):
-            yield texts[start:i]
-            start, total = i, 0
+def blocks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    held: list[bytes] = []
+    total = 0
+    for text in texts:
+        if held and (total + len(text) > BLOCK_BYTES or len(held) >= BLOCK_TEXTS):
+            yield held
+            held, total = [], 0
+        held.append(text)
         total += len(text)
-    if start < len(texts):
-        yield texts[start:]
+    if held:
+        yield held
 
 
 @dataclass
@@ -106,7 +108,7 @@ class Model:
     def weigh(self, frequencies: np.ndarray) -> np.ndarray:
         return weighted(frequencies, self.idf)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: Iterable[bytes]) -> np.ndarray:
         out = [np.zeros(0)]
         for block in blocks(texts):
             near = unit(self.weigh(counted(block)) @ self.axes) @ self.vectors.T
@@ -160,14 +162,14 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for block in blocks([t.as_py().encode() for t in batch.column(1)]):
+            for block in blocks(t.as_py().encode() for t in batch.column(1)):
                 total[:TERMS] += (counted(block) > 0).sum(0)
                 total[TERMS] += len(block)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
     out = np.zeros(TERMS + 1)
-    for term, n in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for term, n in texts.mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         out[term] = n
     return out
 
@@ -182,11 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_label
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [weighted(counted(block), idf) for block in blocks([t.as_py().encode() for t in batch.column(1)])]
+            found = [weighted(counted(block), idf) for block in blocks(t.as_py().encode() for t in batch.column(1))]
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.astype("<f2").tobytes() for b in found for r in b], pa.binary())], names=["label", "row"])
 
-    got = rows.mapInArrow(vectors, "label double, row binary").orderBy(F.xxhash64("row", "label")).toArrow()
+    got = rows.mapInArrow(lean(vectors), "label double, row binary").orderBy(F.xxhash64("row", "label")).toArrow()
     marks_of = got.column(0).to_numpy()
     matrix = np.frombuffer(b"".join(got.column(1).to_pylist()), "<f2").reshape(-1, TERMS).astype(np.float32)
     axes = axes_of(matrix, dimensions)
@@ -199,10 +201,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score([t.as_py().encode() for t in batch.column(1)])
+            scores = shared.value.score(t.as_py().encode() for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    scored = texts_of(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -212,7 +214,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score([(t.as_py() or "").encode() for t in batch.column(at)])
+            scores = shared.value.score((t.as_py() or "").encode() for t in batch.column(at))
             yield batch.filter(pa.array(scores >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

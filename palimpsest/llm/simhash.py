@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import lean, texts_of, written
 from .components import components
 
 #: The Golay code's generator polynomial, its word length and covering radius.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: s
             fps = np.array([fingerprint(text.as_py(), shingle, seed) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(compute, "doc_id long, fp long")
+    return texts_of(docs, id_col, text_col).mapInArrow(lean(compute), "doc_id long, fp long")
 
 
 @lru_cache(1)
@@ -151,8 +151,8 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
                 at, anchors = replicas(fps, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(fps.view(np.int64)[at], pa.int64())], names=["anchor", "v"])
 
-    left = nodes.select("fp").mapInArrow(to_homes, "anchor long, u long")
-    right = nodes.select("fp").mapInArrow(to_replicas, "anchor long, v long")
+    left = nodes.select("fp").mapInArrow(lean(to_homes), "anchor long, u long")
+    right = nodes.select("fp").mapInArrow(lean(to_replicas), "anchor long, v long")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
     return right.join(left, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v")
 

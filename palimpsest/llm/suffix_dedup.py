@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import lean, texts_of, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a block, and of a long text in a piece.
@@ -601,18 +601,18 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, bloc
     if gram & (gram - 1) or not gram <= length < 1 << 15:
         raise ValueError("gram has to be a power of two and no longer than length, length below 32768")
     texts = texts_of(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text")
-    blocks = written(texts.mapInArrow(_blocks(length, block_bytes), BLOCK), "blocks")
+    blocks = written(texts.mapInArrow(lean(_blocks(length, block_bytes)), BLOCK), "blocks")
     n_blocks, total = blocks.agg(F.count("*"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()
     n_parts = 1 + int((total or 0) // range_bytes)
 
-    prints = blocks.mapInArrow(_prints(n_parts, length, gram), PRINTS)
+    prints = blocks.mapInArrow(lean(_prints(n_parts, length, gram)), PRINTS)
     codes = written(prints.groupBy("part").applyInArrow(_codes(hot_base + hot_per_block * n_blocks), CODES), "codes")
     coded = blocks.join(codes.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("codes")), "block", "left")
 
-    runs = coded.mapInArrow(_runs(n_parts, length, gram), RUNS)
+    runs = coded.mapInArrow(lean(_runs(n_parts, length, gram)), RUNS)
     marks = written(runs.groupBy("part").applyInArrow(_merge(length, gram), MARKS), "marks")
     marked = blocks.join(marks.groupBy("block").agg(F.collect_list("marks").alias("marks")), "block", "left")
 
-    whole = marked.where("NOT split").mapInArrow(_cut_whole(length), RESULT)
-    pieces = marked.where("split").mapInArrow(_spread(length), SPLIT)
-    return whole.unionByName(pieces.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(_cut_split(block_bytes), RESULT))
+    whole = marked.where("NOT split").mapInArrow(lean(_cut_whole(length)), RESULT)
+    pieces = marked.where("split").mapInArrow(lean(_spread(length)), SPLIT)
+    return whole.unionByName(pieces.repartition("rid").sortWithinPartitions("rid", "start").mapInArrow(lean(_cut_split(block_bytes)), RESULT))

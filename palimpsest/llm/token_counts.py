@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import lean, texts_of
 
 #: Words whose count a worker remembers, and the longest such word.
 CACHE_WORDS, CACHE_BYTES = 500_000, 64
@@ -124,4 +124,4 @@ def count_tokens(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", te
                     out[2, i] += sum(map(pieces, words))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, RESULT)
+    return texts_of(docs, id_col, text_col).mapInArrow(lean(run), RESULT)

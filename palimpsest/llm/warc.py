@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import zips
-from .common import scratch, written
+from .common import lean, scratch, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Of an archive's records, compressed, before the next archive begins.
@@ -138,7 +138,7 @@ def write(pages: DataFrame, folder: str | None = None, *, revisit_bytes: int = R
         path, n, size = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int64())], names=["path", "records", "bytes"])
 
-    return written(joined.mapInArrow(pack, "path string, records long, bytes long"), "archives")
+    return written(joined.mapInArrow(lean(pack), "path string, records long, bytes long"), "archives")
 
 
 def read_archive(file, size: int) -> Iterator[tuple]:
@@ -181,4 +181,4 @@ def read(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield emit(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(unpack, READ)
+    return archives.select("path").repartition("path").mapInArrow(lean(unpack), READ)
