@@ -54,11 +54,11 @@ def dot(a: str, b: str) -> str:
 
 PAGES = f"""
 words AS (SELECT doc_id, {tokens("text")} AS ts FROM documents),
-stream AS (SELECT ts[i] AS token, row_number() OVER (ORDER BY doc_id, i) - 1 AS place FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM words)),
+stream AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS place FROM (SELECT doc_id, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS i FROM words)),
 pages_of AS (SELECT place // {fixed.PAGE_SIZE} AS page_seq, string_agg(token, ' ' ORDER BY place) AS text, count(*) AS token_count FROM stream GROUP BY 1)"""
 
 VERB_TRIPLES = f"""
-sents AS (SELECT page_seq, s[i] AS sentence, i - 1 AS s FROM (SELECT page_seq, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_seq, regexp_extract_all(text, '[^.!?]+[.!?]') AS s FROM pages_of)) WHERE len({tokens("s[i]")}) <= 30),
+sents AS (SELECT page_seq, sentence, i - 1 AS s FROM (SELECT page_seq, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_seq, regexp_extract_all(text, '[^.!?]+[.!?]') AS s FROM pages_of)) WHERE len({tokens("sentence")}) <= 30),
 verbs AS (SELECT unnest({listed(fixed.VERBS)}) AS verb, unnest(range(0, {len(fixed.VERBS)})) AS v),
 halves AS (SELECT page_seq, s * 100 + v AS ord, verb, {phrase("substr(sentence, 1, place - 1)")} AS l, {phrase("substr(sentence, place + length(verb) + 2)")} AS r
   FROM (SELECT *, instr(sentence, ' ' || verb || ' ') AS place FROM sents, verbs) WHERE place > 0),
@@ -104,7 +104,7 @@ def terms(source: str, key: str) -> str:
     """CTEs ending in terms(key, pos, term)."""
     return f"""
 raw_terms AS (SELECT {key}, list_transform(list_filter({tokens("lower(text)")}, lambda t: length(t) >= {fixed.LEAST_TERM}), lambda t: trim(t, {PUNCT})) AS ts FROM {source}),
-seen_terms AS (SELECT {key}, ts[i] AS term, min(i) AS first FROM (SELECT {key}, ts, unnest(range(1, len(ts) + 1)) AS i FROM raw_terms) GROUP BY ALL),
+seen_terms AS (SELECT {key}, term, min(i) AS first FROM (SELECT {key}, unnest(ts) AS term, unnest(range(1, len(ts) + 1)) AS i FROM raw_terms) GROUP BY ALL),
 terms AS (SELECT {key}, term, pos FROM (SELECT {key}, term, row_number() OVER (PARTITION BY {key} ORDER BY first) AS pos FROM seen_terms) WHERE pos <= {fixed.MAX_TERMS})"""
 
 
