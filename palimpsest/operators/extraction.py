@@ -20,9 +20,9 @@ STRICT_IS_PATTERN = rf"(?i)(?<!{W})({W}+(?:\s+{W}+){{0,2}}?)\s+is\s+(?:a|an|the)
 
 
 def _groups(source: Column, pattern: str, *groups: int) -> Column:
-    """An array of structs of the pattern's groups g1, g2, ..."""
-    found = [F.regexp_extract_all(source, F.lit(pattern), F.lit(g)) for g in groups]
-    return F.arrays_zip(*[f.alias(f"g{g}") for f, g in zip(found, groups, strict=True)])
+    """An array of structs of the pattern's groups g1, g2, ...; the text is searched once, then only its matches."""
+    found = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(f"g{g}") for g in groups]))
 
 
 def verb_triples(pages: DataFrame) -> DataFrame:

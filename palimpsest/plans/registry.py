@@ -42,7 +42,7 @@ def _pages(spark, sf_dir):
 
 
 def _triples(spark, sf_dir):
-    return extraction.triples(_pages(spark, sf_dir))
+    return extraction.triples(kept(_pages(spark, sf_dir), "pages"))  # both kinds of triples read them
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
