@@ -377,9 +377,8 @@ def keyword_collapse(spark, sf_dir):
 SELECT query_id, count(*) AS n_pages FROM pages_of, asked WHERE len(list_filter(es, lambda e: contains(lower(text), e))) > 0 GROUP BY 1""")
 def entity_filter(spark, sf_dir):
     asked = _queries(spark, sf_dir).select("query_id", text.clean_entities(F.col("query"), fixed.STOP_FILTER).alias("es"))
-    pages = kept(_pages(spark, sf_dir), "pages").select(F.lower("text").alias("lower"))
-    joined = pages.join(F.broadcast(asked), F.exists("es", lambda e: F.contains(F.col("lower"), e)))
-    return joined.groupBy("query_id").agg(F.count("*").alias("n_pages"))
+    words = {r.query_id: r.es for r in retrieval.small(asked)}
+    return retrieval.held_words(_pages(spark, sf_dir), words).groupBy("query_id").agg(F.count("*").alias("n_pages"))
 
 
 @query()
