@@ -99,6 +99,28 @@ def test_diffusion_agrees_with_numpy(spark, steps):
     assert np.allclose([got[str(i)] for i in range(5)], rho)
 
 
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_blocks_agree_with_single_keys(spark, sign):
+    n, keys = 12, graph.BLOCK + 3
+    rng = np.random.default_rng(5)
+    lap = graph.laplacian(graph.symmetric(spark.createDataFrame([(f"c{i}", f"c{j}", float(rng.integers(1, 9))) for i, j in itertools.combinations(range(n), 2) if rng.random() < 0.4], "src string, dst string, w double")))
+    pairs = [(k, f"c{i}") for k in range(keys) for i in rng.choice(n, 3, replace=False)] + [(0, "c1"), (0, "c1"), (1, "unknown")]
+    active = spark.createDataFrame(pairs, "key int, concept string")
+    start = lap.select(F.col("src").alias("concept")).distinct().crossJoin(active.select("key").distinct()).select("key", "concept", F.lit(1 / n).alias("rho"))
+    plain = graph.diffuse(lap, start, active.withColumn("q", F.lit(1.0)), sign=sign)
+    want = {(r.key, r.concept): r.rho for r in plain.collect()}
+    placed = active.select((F.col("key") / graph.BLOCK).cast("int").alias("block"), (F.col("key") % graph.BLOCK).alias("place"), "concept")
+    got = {(r.block * graph.BLOCK + k, r.concept): x for r in graph.diffuse_blocks(lap, placed, -(-keys // graph.BLOCK), 1 / n, sign=sign).collect() for k, x in enumerate(r.r)}
+    assert want and {k: got[k] for k in want} == pytest.approx(want, abs=1e-12)
+
+
+def test_masses_of_blocks_are_those_of_rows(spark, index):
+    active = index[0].concepts.where("idx < 4").select((F.col("idx") % 2).cast("string").alias("query_id"), "concept")
+    strengths = retrieval.spread(index[0], active)
+    want = {(r.query_id, r.region): r.mass for r in retrieval.region_mass(index[0], strengths.long()).collect()}
+    assert want and {(r.query_id, r.region): r.mass for r in retrieval.block_mass(index[0], strengths).collect()} == pytest.approx(want)
+
+
 def test_activation_falls_back_to_words(spark):
     concepts = spark.createDataFrame([("red fox",), ("blue fox",), ("dog",)], "concept string")
     wanted = spark.createDataFrame([("a", "dog"), ("a", "fox"), ("b", "fox cub")], "key string, name string")
