@@ -37,6 +37,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Of an archive's records, compressed, before the next archive begins.
 ARCHIVE_BYTES = 64 << 20
 REVISIT_BYTES = 1_000
+#: Tasks that read archives, at most; each then reads several.
+MAX_TASKS = 20_000
 #: Pages have no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,4 +183,6 @@ def read(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield emit(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(lean(unpack), READ)
+    # The rows that name archives are tiny: dealt to a number of tasks of its own, adaptive execution doesn't merge them into one.
+    tasks = min(MAX_TASKS, max(1, 2 * archives.count()))
+    return archives.select("path").repartition(tasks, "path").mapInArrow(lean(unpack), READ)

@@ -5,6 +5,8 @@ import zipfile
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from palimpsest.llm import warc, zips
 
 ROWS = [
@@ -88,3 +90,10 @@ def test_cut_archives_are_refused(cut):
     data = raw.getvalue()[:-22][:cut] if cut else b""
     with pytest.raises(zips.FormatError):
         zips.Reader(io.BytesIO(data), len(data))
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    rows = spark.createDataFrame([(i, f"http://h/{i}", "x" * 50 + str(i)) for i in range(64)], "page_id long, url string, html string").repartition(8)
+    read = warc.read(warc.write(rows))
+    assert len(read.select(F.spark_partition_id().alias("p")).distinct().collect()) > 1
+    assert read.count() == 64
