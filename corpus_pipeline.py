@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from palimpsest.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from palimpsest.llm.common import scratch, table, without, written
 
 
@@ -26,8 +26,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest identifier stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of documents linked by four fifths of their five-word shingles that with the smallest identifier stays."""
+    groups = jaccard.near_duplicates(docs)
     return without(docs, written(groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near"), "doc_id")
 
 

@@ -1,0 +1,165 @@
+"""Near-duplicates by the Jaccard similarity of their sets of word shingles, found exactly.
+
+Two sets whose similarity reaches the threshold share a shingle among the first n - ceil(threshold * n) + 1 of each,
+whatever the order, as long as it is the same for all. Shingles are ordered by how often they occur, rare ones first,
+as told by a table of counters of fixed size: its errors cost time, never results. Sets that share such a shingle
+and whose sizes allow the threshold are compared in full.
+
+Groups of many near copies are linked through hubs: for each shingle its sets are compared with one of them, twice over with
+another choice; then all pairs that share a shingle and are not yet in one component are compared. So components
+are those of all pairs, and a group that hubs link costs no more than its size. Sets that share one of their
+rarest shingles and are not similar are compared pair by pair.
+
+Shingles are told apart by 64-bit hashes; equal sets are one node. Only the counters (2 MiB) reach all tasks.
+
+Defined results: a null text counts as empty; texts without words are one group; a text of fewer words than a shingle is
+one shingle; a null identifier keeps its row and is never a component's identifier unless all members lack one;
+an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bitmap, lean, marked, texts_of, written
+from .components import components
+
+#: Counters of shingles, rounds of hubs, rows sent to the engine at a time.
+SLOTS, ROUNDS, ROWS = 1 << 18, 2, 500
+
+
+def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - size + 1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts, stops = (ends - sizes)[:n].tolist(), (ends[min(size, len(words)) - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _node(hashes: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(hashes.tobytes())
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def counters(texts: DataFrame, size: int, seed: int) -> np.ndarray:
+    """How many shingles fall to each slot; a text counts each of its own once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(1):
+                np.add.at(total, _slot(shingles(text.as_py(), size, seed)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    found = texts.mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, load: np.ndarray, share: Fraction, size: int, seed: int) -> DataFrame:
+    """(doc_id, node, n, keys): the set's hash and size, and those of its shingles of which similar sets share one."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                nodes, sizes, keys = [], [], []
+                for text in batch.column(1):
+                    found = shingles(text.as_py(), size, seed)
+                    n = len(found)
+                    nodes.append(_node(found))
+                    sizes.append(n)
+                    keys.append(found[np.argsort(load[_slot(found)], kind="stable")[: n - least(n, share) + 1]])
+                columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(keys)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys"])
+
+    return texts.mapInArrow(lean(compute), "doc_id long, node long, n long, keys array<long>")
+
+
+def least(n: int, share: Fraction) -> int:
+    """The fewest shingles that a set of ``n`` shares with a similar one."""
+    return -(-n * share.numerator // share.denominator)
+
+
+def sets(texts: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
+    """(node, hashes) of the nodes in ``wanted`` (node, low: an identifier that has the node)."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                found = [shingles(text.as_py(), size, seed) for text in whole.slice(start, ROWS).column(1)]
+                nodes = np.array([_node(x) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), _lists(found)], names=["node", "hashes"])
+
+    some = marked(texts, bitmap(wanted, "low"), F.col("doc_id"), "__may").where("__may").select("doc_id", "text")
+    found = some.mapInArrow(lean(compute), "node long, hashes array<long>").join(wanted.select("node"), "node", "left_semi")
+    return found.groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, component_id (smallest identifier reachable through pairs of that similarity)."""
+    share = Fraction(str(threshold))
+    if not 0 < share <= 1:
+        raise ValueError("the similarity has to be above 0 and at most 1")
+    texts = texts_of(docs, id_col, text_col)
+    prints = written(prefixes(texts, counters(texts, shingle, seed), share, shingle, seed), "prefixes")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("low")), "nodes")
+
+    keyed = prints.select("node", "n", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    shared = written(keyed.join(ends, "key").distinct(), "shared")
+    wanted = written(shared.select("node").distinct().join(nodes, "node"), "wanted")
+    full = written(sets(texts, wanted, shingle, seed), "sets")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        sides = [full.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "uv"]
+        both = pairs.join(sides[0], "u").join(sides[1], "v")
+        common, total = F.size(F.array_intersect("hu", "hv")), F.size("hu") + F.size("hv")
+        return both.where(common * (share.numerator + share.denominator) >= total * share.numerator).select("u", "v")
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        sides = [df.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for df, c in ((left, "u"), (right, "v"))]
+        fits = F.least("nu", "nv") * share.denominator >= F.greatest("nu", "nv") * share.numerator
+        met = sides[0].join(sides[1], "key").where((F.col("ru") != F.col("rv")) & fits)
+        return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    rooted, links = shared.withColumn("root", F.col("node")), None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            first = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn)))
+            met = pairs(rooted.groupBy("key").agg(first.alias("hub")).select("key", "hub.*"), rooted)
+        else:
+            met = pairs(rooted, rooted)
+        found = similar(met)
+        links = written(found if links is None else links.unionByName(found), "links")
+        roots = written(components(links), "roots")
+        rooted = written(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted") if turn < ROUNDS else rooted
+    named = written(nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "named")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    labels = named.join(lowest, "root").select("node", "component_id")
+    return prints.select("doc_id", "node").join(labels, "node").select("doc_id", "component_id")
