@@ -11,7 +11,8 @@ from ..functions import fixed, text
 MAX_CHARS = 1_000_000
 W = text.WORD
 OF_PATTERN = rf"(?i)({W}+(?:\s+{W}+){{0,2}})\s+of\s+({W}+(?:\s+{W}+){{0,2}})"
-ENTITY_PATTERN = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+#: Boundaries by letters and digits of any script: of "Chloé" no part is a name.
+ENTITY_PATTERN = rf"(?U)(?<!{W})([A-Z][a-z]+(?:{fixed.WHITE}+[A-Z][a-z]+)*)(?!{W})"
 RELATION_PATTERN = rf"(?i)(?<!{W})({W}+(?:\s+{W}+){{0,3}}?)\s+({'|'.join(fixed.RELATION_VERBS)})\s+({W}+)(?!{W})"
 HAS_PATTERN = rf"(?i)(?<!{W})({W}+(?:\s+{W}+){{0,2}}?)\s+(?:has|have|had)\s+({W}+)(?!{W})"
 IS_PATTERN = rf"(?i)(?<!{W})({W}+(?:\s+{W}+){{0,2}}?)\s+is\s+(?:(?:a|an|the)\s+)?({W}+)(?!{W})"

@@ -405,6 +405,12 @@ def entities(spark, sf_dir):
     return entity_store.entities(extraction.entities(_docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))))
 
 
+@query()
+def all_entities(spark, sf_dir):
+    """Of every document; the query compared with SQL has documents of ASCII characters only."""
+    return entity_store.entities(extraction.entities(_docs(spark, sf_dir)))
+
+
 _RELATIONS = f"""
 rel_found AS (SELECT doc_id, {", ".join(f"regexp_extract_all(text, {sql.q(sql.RELATION)}, {g}) AS g{g}" for g in (1, 2, 3))} FROM documents),
 rel_rows AS (SELECT lower(g1[i]) AS subject, lower(g2[i]) AS predicate, lower(g3[i]) AS object FROM (SELECT *, unnest(range(1, len(g1) + 1)) AS i FROM rel_found)),
@@ -494,6 +500,11 @@ def extraction_counts(spark, sf_dir):
 _NORM = r"list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda t: t <> '' AND NOT list_contains(['a', 'an', 'the'], t))"
 
 
+def _first_turns(conversations: DataFrame) -> DataFrame:
+    pick = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    return conversations.groupBy(F.col("conv_id").alias("id")).agg(pick(0).alias("gold"), pick(1).alias("prediction")).where("gold IS NOT NULL AND prediction IS NOT NULL")
+
+
 @query(f"""WITH p AS (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN text END) AS gold, max(CASE WHEN turn = 1 THEN text END) AS prediction FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '(?i)\\b(a|an|the)\\b[^\\s]|[^\\s]\\b(a|an|the)\\b') GROUP BY 1 HAVING gold IS NOT NULL AND prediction IS NOT NULL),
 t AS (SELECT id, {_NORM.format("prediction")} AS a, {_NORM.format("gold")} AS b FROM p),
 s AS (SELECT id, a, b, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS common FROM t)
@@ -501,9 +512,7 @@ SELECT id, round(CASE WHEN coalesce(common, 0) > 0 THEN 2 * common / (len(a) + l
 def token_f1(spark, sf_dir):
     """The first two turns of each conversation; where articles touch other characters the engines' boundaries differ."""
     c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"(?i)\b(a|an|the)\b[^\s]|[^\s]\b(a|an|the)\b"))
-    pick = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
-    pairs = c.groupBy(F.col("conv_id").alias("id")).agg(pick(0).alias("gold"), pick(1).alias("prediction")).where("gold IS NOT NULL AND prediction IS NOT NULL")
-    return _rounded(evaluation.token_f1(pairs), "f1")
+    return _rounded(evaluation.token_f1(_first_turns(c)), "f1")
 
 
 @query("""WITH r AS (SELECT user_id % 100 AS query_id, event_id, value, row_number() OVER (PARTITION BY user_id % 100 ORDER BY value DESC, event_id) AS rank FROM events),

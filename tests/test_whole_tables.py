@@ -1,0 +1,38 @@
+"""Queries over whole tables, other than ASCII letters included, against Python's regular expressions."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from palimpsest.plans import registry
+
+DATA = "/root/testdata/sf0.001"
+
+
+def plain_answer(text):
+    return " ".join(re.sub(r"[^\w\s]", "", re.sub(r"\b(a|an|the)\b", " ", text.lower())).split())
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    texts = ["Chloé et Zoe Blanc, à Paris.", "The Müller Haus. Bob", "été the, cat (an) a.b naïve", "À a the end", "l'a thé", "plain Words Here"]
+    turns = [(c, t, x) for c, pair in enumerate([(texts[2], "naïve été cat b"), (texts[3], "à end"), (texts[4], texts[4].upper()), ("the cat.", "A cat")]) for t, x in enumerate(pair)]
+    spark.createDataFrame([*turns, (9, 0, "only")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def rows(spark, sf_dir, name):
+    return [tuple(r) for r in registry.table(spark, sf_dir, name).select({"documents": ["doc_id", "text"], "conversations": ["conv_id", "turn", "text"]}[name]).collect()]
+
+
+def both(folder):
+    return DATA, folder
+
+
+def test_entities(spark, folder):
+    for at in both(folder):
+        want = Counter(n.lower() for _, t in rows(spark, at, "documents") for n in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", t))
+        got = {r.name: r.frequency for r in registry.QUERIES["all_entities"](spark, at).collect()}
+        assert got == dict(want)
