@@ -93,5 +93,5 @@ def contains_any(text: Column, parts: Column) -> Column:
 
 def normalised_answer(text: Column) -> Column:
     """Lower case, without articles and punctuation, white space squeezed."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)\b(a|an|the)\b", " "), rf"[^\p{{L}}\p{{N}}_\s]", "")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), rf"(?<!{WORD})(a|an|the)(?!{WORD})", " "), rf"(?U)[^\p{{L}}\p{{N}}_\s\x1c-\x1f]", "")
     return F.array_join(tokens(bare), " ")

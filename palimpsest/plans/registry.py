@@ -515,6 +515,12 @@ def token_f1(spark, sf_dir):
     return _rounded(evaluation.token_f1(_first_turns(c)), "f1")
 
 
+@query()
+def all_token_f1(spark, sf_dir):
+    """Every conversation with turns 0 and 1; the query compared with SQL leaves out turns on which the engines differ."""
+    return _rounded(evaluation.token_f1(_first_turns(table(spark, sf_dir, "conversations"))), "f1")
+
+
 @query("""WITH r AS (SELECT user_id % 100 AS query_id, event_id, value, row_number() OVER (PARTITION BY user_id % 100 ORDER BY value DESC, event_id) AS rank FROM events),
 t AS (SELECT DISTINCT user_id % 100 AS query_id, event_id FROM events WHERE event_type = 'click' OR event_type = 'purchase'),
 p AS (SELECT t.query_id, count(*) AS wanted, count(r.rank) FILTER (r.rank <= 5) AS at_k, min(r.rank) AS first FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.event_id = t.event_id GROUP BY 1),

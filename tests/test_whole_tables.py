@@ -36,3 +36,16 @@ def test_entities(spark, folder):
         want = Counter(n.lower() for _, t in rows(spark, at, "documents") for n in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", t))
         got = {r.name: r.frequency for r in registry.QUERIES["all_entities"](spark, at).collect()}
         assert got == dict(want)
+
+
+def test_token_f1(spark, folder):
+    for at in both(folder):
+        turns = {(c, n): plain_answer(t) for c, n, t in rows(spark, at, "conversations")}
+        want = {}
+        for c in {c for c, _ in turns}:
+            if (c, 0) in turns and (c, 1) in turns:
+                gold, said = turns[c, 0].split(), turns[c, 1].split()
+                common = sum((Counter(gold) & Counter(said)).values())
+                want[c] = (round(2 * common / (len(gold) + len(said)), 6) if common else 0.0, float(gold == said))
+        got = {r.id: (r.f1, r.em) for r in registry.QUERIES["all_token_f1"](spark, at).collect()}
+        assert {c: (round(f, 6), e) for c, (f, e) in got.items()} == want
