@@ -103,6 +103,12 @@ def normalised_answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", text.normalised_answer(F.col("text")).alias("answer"))
 
 
+@query()
+def all_normalised_answers(spark, sf_dir):
+    """Every turn; the query compared with SQL has those of ASCII characters only."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalised_answer(F.col("text")).alias("answer"))
+
+
 # --- vectors ---
 
 _TERMS = f"items AS (SELECT DISTINCT unnest({sql.tokens('lower(text)')}) AS concept FROM benchmark)"

@@ -38,6 +38,13 @@ def test_entities(spark, folder):
         assert got == dict(want)
 
 
+def test_normalised_answers(spark, folder):
+    for at in both(folder):
+        want = {(c, n): plain_answer(t) for c, n, t in rows(spark, at, "conversations")}
+        got = {(r.conv_id, r.turn): r.answer for r in registry.QUERIES["all_normalised_answers"](spark, at).collect()}
+        assert got == want
+
+
 def test_token_f1(spark, folder):
     for at in both(folder):
         turns = {(c, n): plain_answer(t) for c, n, t in rows(spark, at, "conversations")}
