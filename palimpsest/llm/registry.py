@@ -79,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_quality, op2_warc, op3_bpe, op4_decontaminate, op5_suffix_dedup, op6_simhash, op7_exact_dedup, op8_licenses, op9_pii, op10_token_counts)
-    from corpus_pipeline import run
+    from .pipeline import run
 
     return {f.__name__: f for f in every} | {"pipeline": run}
 

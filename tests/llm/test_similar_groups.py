@@ -4,8 +4,8 @@ from pathlib import Path
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-import corpus_pipeline  # noqa: E402
-from palimpsest.llm import jaccard  # noqa: E402
+from palimpsest.llm import pipeline as corpus_pipeline  # noqa: E402
+from palimpsest.llm import simhash  # noqa: E402
 from palimpsest.llm.common import table  # noqa: E402
 
 
@@ -44,7 +44,7 @@ def test_against_brute_force(spark):
     edge = [f"e{i}" for i in range(14)]  # ten shingles; eight of ten and twelve in common are four fifths of neither
     rows += [(9100, " ".join(edge)), (9101, " ".join(edge[:12])), (9102, " ".join(edge[:11]))]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
-    assert sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, simhash.similar_groups(df).collect()), key=str) == brute(rows)
 
 
 def test_stage_removes_the_near_copies_of_the_tables(spark):
@@ -56,4 +56,4 @@ def test_stage_removes_the_near_copies_of_the_tables(spark):
 
 
 def test_empty_table(spark):
-    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
