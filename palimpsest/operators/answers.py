@@ -1,126 +1,94 @@
-"""A short answer to a question from the sentences of retrieved pages, by rules."""
+"""A short answer to a question from the sentences of retrieved pages, in column expressions.
 
-from __future__ import annotations
+The sentence that holds most of the question's content words is searched for what the kind of question asks for: a name, a place after a
+preposition, a year, an amount, a yes or no, or what stands after a copula. What is named in the question itself is no answer.
+Without any, the first words of that sentence which the question doesn't have are the answer; empty without such a sentence.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a question that name nothing; answers that say nothing.
-QUESTION_STOP = set("who what where when how which is are was were the a an in on at to for of with by does do did has have had can could would should".split())
-EMPTY_ANSWERS = set("the a an it this that they he she his her its their was is are were has have had do does did".split())
-
-NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
-NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?"
-#: For each kind of question the patterns of its answers, and the most words these may have.
-PATTERNS = {
-    "who": ([rf"(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s+({NAME})", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b", rf"(?:born|named|called)\s+({NAME})"], 4),
-    "where": ([rf"(?:in|at|near|from)\s+({NAME}(?:,\s*[A-Z][a-z]+)*)", r"\b([A-Z][a-z]+(?:,\s*[A-Z][a-z]+)*)\b"], 5),
-    "when": ([r"\b(\d{4})\b", r"(?i)(?:in|on|from|during|since|until)\s+(\w+\s+\d{4})"], 99),
-    "quantity": ([rf"(?i)({NUMBER}\s*(?:million|billion|thousand|hundred))", rf"({NUMBER})"], 99),
-}
-COPULAS = [r"(?i)(?:is|was|are|were)\s+(?:a|an|the)?\s*(.+?)(?:\.|,|\(|$)", r"(?i)(?:known as|called|named)\s+(.+?)(?:\.|,|\(|$)", r"(?i)(?:consists of|includes|contains)\s+(.+?)(?:\.|,|\(|$)"]
-
-
-def question_type(question: str) -> str:
-    q = question.lower()
-    for mark, kind in (("who ", "who"), ("where ", "where"), ("when ", "when")):
-        if mark in q:
-            return kind
-    if q.startswith("how many") or "how much" in q:
-        return "quantity"
-    for mark in ("how", "which"):
-        if f"{mark} " in q:
-            return mark
-    if " or " in q and "?" in q[-5:]:
-        return "choice"
-    return "yesno" if q.split(" ")[0] in ("is", "are", "was", "were") else "what"
-
-
-def anchors(question: str) -> list[str]:
-    """Words that name something, with the next one if that is capitalised."""
-    plain, out = question.split(), []
-    for i, word in enumerate(plain):
-        low = word.lower()
-        if low in QUESTION_STOP or len(low) <= 2:
-            continue
-        after = plain[i + 1] if i + 1 < len(plain) else ""
-        out.append(f"{low} {after.lower()}" if after[:1].isupper() and after.lower() not in QUESTION_STOP else low)
+from ..functions import fixed, text
+
+W = text.WORD
+#: Words of the answer at most.
+MOST_WORDS, FALLBACK_WORDS = 10, 8
+#: What makes a question one of a kind, in this order; anything else asks for a thing.
+KINDS = [
+    ("person", rf"(?i)(?<!{W})(who|whom|whose)(?!{W})"),
+    ("place", rf"(?i)(?<!{W})(where|which (city|country|town|place))(?!{W})"),
+    ("time", rf"(?i)(?<!{W})(when|(what|which) (year|date|century))(?!{W})"),
+    ("amount", rf"(?i)(?<!{W})(how (many|much|old|long|tall|far))(?!{W})"),
+    ("polar", rf"(?i)^\s*(is|are|was|were|do|does|did|has|have|had|can|could)(?!{W})"),
+]
+CAPITAL = r"\p{Lu}\p{L}+"
+FULL_NAME = rf"(?<!{W}){CAPITAL}(?: {CAPITAL})+(?!{W})"
+PLACE = rf"(?<!{W})(?:in|at|near|from|to) (?:the )?({CAPITAL}(?:,? {CAPITAL})*)"
+YEAR = r"(?<![\d,.])([12]\d{3})(?![\d,])"
+AMOUNT = r"(?<![\d.,])\d+(?:[.,]\d+)*(?: (?:hundred|thousand|million|billion|percent))?"
+AFTER_COPULA = rf"(?i)(?<!{W})(?:is|are|was|were|means)(?!{W}) (?:(?:a|an|the) )?([^,;:()]+)"
+NEGATION = rf"(?i)(?<!{W})(not|no|never|none|neither)(?!{W})|n't(?!{W})"
+
+
+def kind_of(question: Column) -> Column:
+    out = F.lit("thing")
+    for kind, pattern in reversed(KINDS):
+        out = F.when(question.rlike(pattern), kind).otherwise(out)
     return out
 
 
-def _valid(answer: str, kind: str) -> bool:
-    if len(answer) < 2 or answer.lower() in EMPTY_ANSWERS:
-        return False
-    checks = {"who": lambda: any(w[:1].isupper() for w in answer.split()), "when": lambda: re.search(r"\d|year|month|day|century|era|period", answer.lower()), "where": lambda: len(answer.split()) <= 5, "quantity": lambda: re.search(r"\d", answer)}
-    return bool(checks.get(kind, lambda: True)())
-
-
-def _by_kind(sentence: str, kind: str, names: list[str]) -> str:
-    if kind == "choice":
-        return next((n for n in names if n in sentence.lower()), "")
-    if kind == "yesno":
-        words = set(re.findall(r"\w+", sentence.lower()))
-        return "yes" if words & {"yes", "indeed", "correct", "true"} else "no" if words & {"no", "not", "false"} else ""
-    patterns, most = PATTERNS.get(kind, ([], 0))
-    for pattern in patterns:
-        for found in re.findall(pattern, sentence):
-            if len(found.split()) <= most:
-                return found
-    return ""
-
-
-def _copula(sentence: str) -> str:
-    for pattern in COPULAS:
-        if m := re.search(pattern, sentence):
-            answer = re.sub(r"\s+and\s+.*$", "", re.sub(r"\s*\(.*?\)\s*", " ", m[1].strip())).strip()
-            if 1 < len(answer) and len(answer.split()) <= 10:
-                return answer
-    return ""
-
-
-def _name(sentence: str) -> str:
-    return next((n for n in re.findall(rf"\b({NAME})\b", sentence) if len(n.split()) <= 3 and n.lower() not in ("the", "and", "or", "but")), "")
-
-
-def _number(sentence: str, kind: str) -> str:
-    numbers = re.findall(rf"\b({NUMBER})\b", sentence)
-    if not numbers:
-        return ""
-    return max(numbers, key=lambda n: float(n.replace(",", ""))) if kind == "quantity" else numbers[0]
-
-
-def answer(pages: list[str], question: str) -> str:
-    """From the five sentences with the most anchors and words of the question, the first that a rule finds valid."""
-    kind, names, words = question_type(question), anchors(question), question.lower().split()
-    scored = []
-    for sentence in re.split(r"[.!?]+", " ".join(pages)):
-        low = sentence.strip().lower()
-        if len(low.split()) >= 2:
-            score = 2.0 * sum(n in low for n in names) + 0.5 * sum(w in low for w in words)
-            if score > 0:
-                scored.append((score, sentence.strip()))
-    scored.sort(key=lambda x: -x[0])
-    for _, sentence in scored[:5]:
-        for found in (_by_kind(sentence, kind, names), _copula(sentence), _name(sentence), _number(sentence, kind)):
-            if found and _valid(found, kind):
-                return found
-    if not scored:
-        return ""
-    first = scored[0][1].split()
-    if len(first) <= 10:
-        return scored[0][1]
-    comma = next((i for i in range(10) if first[i].endswith(",")), None)
-    return " ".join(first[:8]) + "..." if comma is None else " ".join(first[: comma + 1]).rstrip(",")
+def content_words(question: Column) -> Column:
+    return text.clean_entities(question, fixed.STOP_CLEAN)
 
 
-def answers(pages: Column, question: Column) -> Column:
-    """The same over columns: an array of page texts and a question."""
+def _sentences(pages: Column) -> Column:
+    """Split after a terminator that is followed by white space; squeezed to single spaces, without the terminator."""
+    split = F.split(F.array_join(pages, " "), r"(?<=[.!?])\s+")
+    return F.transform(split, lambda s: F.rtrim(F.array_join(text.tokens(s), " "), F.lit(".!?")))
+
+
+def _own_words(sentence: Column) -> Column:
+    return F.filter(F.transform(text.tokens(F.lower(sentence)), lambda t: text.strip(t)), lambda t: t != "")
+
 
-    @F.pandas_udf("string")
-    def run(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([answer(list(a) if a is not None else [], b or "") for a, b in zip(p, q, strict=True)])
+def best_sentence(pages: Column, question: Column) -> Column:
+    """The earliest of the sentences with the most content words of the question; null if none has any."""
+    wanted = content_words(question)
+    scored = F.transform(_sentences(pages), lambda s, i: F.struct(F.size(F.array_intersect(wanted, _own_words(s))).alias("score"), (-i).alias("place"), s.alias("sentence")))
+    best = F.array_max(scored)
+    return F.when(best["score"] > 0, best["sentence"])
 
-    return run(pages, question)
+
+def _first(sentence: Column, pattern: str, group: int, question: Column) -> Column:
+    """The first match that the question doesn't hold; null without one."""
+    found = F.filter(F.regexp_extract_all(sentence, F.lit(pattern), F.lit(group)), lambda x: ~F.contains(F.lower(question), F.lower(x)))
+    return F.get(found, F.lit(0))
+
+
+def _cut(value: Column, most: int) -> Column:
+    return F.array_join(F.slice(text.tokens(value), 1, most), " ")
+
+
+def answers(pages: Column, question: Column) -> Column:
+    """Of an array of page texts and a question; nulls count as empty."""
+    pages, question = F.coalesce(pages, F.array().cast("array<string>")), F.coalesce(question, F.lit(""))
+    s, kind = best_sentence(pages, question), kind_of(question)
+    # A lone capitalised word that begins the sentence may be capitalised for that only.
+    name = F.coalesce(_first(s, FULL_NAME, 0, question), _first(s, rf"(?<=[^.!?] )({CAPITAL})(?!{W})", 1, question))
+    missing = F.size(F.array_except(content_words(question), _own_words(s)))
+    polar = F.when(s.rlike(NEGATION), "no").when(missing == 0, "yes")
+    thing = F.nullif(_cut(F.regexp_extract(s, AFTER_COPULA, 1), MOST_WORDS), F.lit(""))
+    found = F.when(kind == "person", name).when(kind == "place", _first(s, PLACE, 1, question)).when(kind == "time", _first(s, YEAR, 1, question))
+    found = found.when(kind == "amount", _first(s, AMOUNT, 0, question)).when(kind == "polar", polar).otherwise(thing)
+    asked = _own_words(question)
+    rest = F.array_join(F.slice(F.filter(text.tokens(s), lambda t: ~F.array_contains(asked, text.strip(F.lower(t)))), 1, FALLBACK_WORDS), " ")
+    return F.coalesce(found, rest, F.lit(""))
+
+
+def prompt(pages: Column, question: Column, most: int = 5) -> Column:
+    """What a language model would be asked: numbered pages, then the question. No model is called here."""
+    numbered = F.transform(F.slice(pages, 1, most), lambda p, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("] "), p))
+    head = F.lit("Answer with a span of the pages and nothing else; yes or no if the question asks for that.\n\n")
+    return F.concat(head, F.array_join(numbered, "\n\n"), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))

@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources.store import kept
 from .hierarchy import canonical_signs
 
-#: Up to this many rows and columns a matrix is decomposed on the driver.
-DENSE = 500
+#: A matrix whose shorter side is longer than this is known by its LEADING singular values: those whose energy counts as the whole.
+DENSE, LEADING = 500, 100
+#: Numbers of the right vectors that the driver may hold.
+MOST_NUMBERS = 1 << 25
+#: Vectors of a bucket that are compared with as many others in one task.
+BLOCK_ROWS = 4_096
+
+PAIRS = "a long, b long, cos double"
 
 
 def near_pairs(table: DataFrame, d: int, threshold: float = 0.95, m: int = 4, w: float = 10.0, seed: int = 42, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """(a, b, cos) with a < b: vectors of one bucket whose cosine reaches the threshold."""
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("x")).withColumn("bucket", vectors.bucket(F.col("x"), d, m, w, seed))
-    a, b = (rows.select(F.col("id").alias(n), F.col("x").alias(f"x{n}"), "bucket") for n in "ab")
-    cos = vectors.cosine(F.col("xa"), F.col("xb"))
-    return a.join(b, "bucket").where("a < b").select("a", "b", cos.alias("cos")).where(F.col("cos") >= threshold)
+    """(a, b, cos) with a < b: vectors of one bucket whose cosine reaches the threshold; vectors without a norm have no pairs.
+
+    Norms are taken once. A bucket is dealt out as pairs of blocks, each a product of two matrices in a task of its own, so no
+    bucket is too large for a task.
+    """
+    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), vectors.bucket(F.col(vector_col), d, m, w, seed).alias("bucket"))
+    rows = rows.withColumn("norm", vectors.norm(F.col("x"))).where("norm >= 1e-10").select("id", "bucket", F.transform("x", lambda v: v / F.col("norm")).alias("x"))
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("m"))
+    placed = rows.join(blocks, "bucket").withColumn("s", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("bucket", F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q"), "s", "id", "x")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
+        left, right = pdf[pdf.s == p], pdf[pdf.s == q]
+        cos = np.stack(left.x.to_numpy()) @ np.stack(right.x.to_numpy()).T if len(left) and len(right) else np.zeros((0, 0))
+        i, j = np.nonzero(cos >= threshold)
+        a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
+        use = a < b if p == q else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[use], "b": np.maximum(a, b)[use], "cos": cos[i, j][use]})
+
+    return dealt.groupBy("bucket", "p", "q").applyInPandas(compare, PAIRS)
 
 
 def projected(table: DataFrame, d: int, k: int = 16, seed: int = 42, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -74,26 +101,62 @@ def rank_of(values: np.ndarray, m: int, n: int, rank: int | None, ratio: float |
     return int(np.searchsorted(share, explained) + 1)
 
 
-def svd(entries: DataFrame, rank: int | None = None, ratio: float | None = None, explained: float = 0.95, most: int = 64) -> tuple[np.ndarray, DataFrame, float]:
-    """(singular values, right vectors (k, j, v), compression ratio) of a matrix (i, j, v).
+@dataclass(frozen=True)
+class Decomposition:
+    """Singular values, right vectors (k, j, v), the compression ratio, and the share of all energy that the values explain."""
+
+    values: np.ndarray
+    right: DataFrame
+    ratio: float
+    share: float
+
+
+def svd(entries: DataFrame, rank: int | None = None, ratio: float | None = None, explained: float = 0.95) -> Decomposition:
+    """Of a matrix (i, j, v); entries of one place are summed.
 
-    Up to DENSE rows and columns on the driver; beyond, on the executors, up to ``most`` values.
+    Without ``rank`` and ``ratio`` the rank is the smallest that explains ``explained`` of the energy: of all of it if the shorter side has at most
+    DENSE, else of that of the LEADING largest values, by definition; ``share`` tells the part of all energy in either case. A rank that
+    can't be had is an error. Products are taken on the executors; the driver holds the right vectors, MOST_NUMBERS at most.
     """
     spark = entries.sparkSession
-    m, n = entries.agg(F.max("i") + 1, F.max("j") + 1).first()
+    summed = kept(entries.groupBy("i", "j").agg(F.sum("v").alias("v")), "summed")
+    m, n, energy = summed.agg(F.max("i") + 1, F.max("j") + 1, F.sum(F.col("v") * F.col("v"))).first()
     if not m:
         raise ValueError("empty matrix")
     m, n = int(m), int(n)
-    if max(m, n) <= DENSE:
-        matrix = np.zeros((m, n))
-        for i, j, v in entries.select("i", "j", "v").collect():
-            matrix[i, j] += v
-        _, values, vt = np.linalg.svd(matrix, full_matrices=False)
-    else:
-        rows = entries.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("x")).rdd.map(lambda r: OldVectors.sparse(n, {int(e.j): float(e.v) for e in r.x}))
-        done = RowMatrix(rows, m, n).computeSVD(min(most, n - 1), False)
-        values, vt = done.s.toArray(), done.V.toArray().T
-    k = min(rank_of(values, m, n, rank, ratio, explained), len(values))
-    vt = canonical_signs(vt[:k].T.copy()).T
-    right = spark.createDataFrame([(a, b, float(vt[a, b])) for a in range(k) for b in np.flatnonzero(vt[a]).tolist()], "k int, j long, v double")
-    return values[:k], right, m * n / (m * k + k + k * n)
+    wide = n > m  # the longer side is that of the rows
+    short = min(m, n)
+    wanted = None if rank is None and ratio is None else rank_of(np.zeros(0), m, n, rank, ratio, explained)
+    k = wanted or (short if short <= DENSE else LEADING)
+    if k * short > MOST_NUMBERS:
+        raise ValueError(f"{k} vectors of {short} numbers are more than the driver may hold")
+    row, col = ("j", "i") if wide else ("i", "j")
+    vectors_of = summed.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(F.col(col).cast("int").alias("j"), "v"))).alias("x"))
+    rows = vectors_of.select("x.j", "x.v").rdd.map(lambda r: OldVectors.sparse(short, r[0], r[1])).persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration
+    done = RowMatrix(rows, max(m, n), short).computeSVD(k, False)
+    values, v = done.s.toArray(), done.V.toArray()
+    rows.unpersist()
+    if wanted is not None and len(values) < wanted:
+        raise ValueError(f"the matrix has no more than {len(values)} singular values that differ from zero")
+    r = wanted or min(rank_of(values, m, n, None, None, explained), len(values))
+    values, v = values[:r], canonical_signs(v[:, :r].copy())
+    near = spark.createDataFrame(pd.DataFrame({"k": np.tile(np.arange(r, dtype=np.int32), short), "j": np.repeat(np.arange(short, dtype=np.int64), r), "v": v.ravel()}), "k int, j long, v double").where("v <> 0")
+    right = near if not wide else _carried(summed.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), near, values).select("k", F.col("i").alias("j"), "v")
+    return Decomposition(values, right, m * n / (m * r + r + r * n), float((values**2).sum() / energy) if energy else 0.0)
+
+
+def _carried(entries: DataFrame, near: DataFrame, values: np.ndarray) -> DataFrame:
+    """(i, k, v): entries times the vectors ``near`` (k, j, v), each divided by its singular value."""
+    scale = F.element_at(vectors.literal(1 / values), F.col("k") + 1)
+    return entries.join(near.withColumnRenamed("v", "x"), "j").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("v")).withColumn("v", F.col("v") * scale)
+
+
+def left_vectors(entries: DataFrame, done: Decomposition) -> DataFrame:
+    """(i, k, v): the left singular vectors of the matrix that was decomposed."""
+    return _carried(entries, done.right, done.values)
+
+
+def reconstructed(left: DataFrame, done: Decomposition) -> DataFrame:
+    """(i, j, v): the matrix of left vectors, values and right vectors."""
+    scaled = left.select("i", "k", (F.col("v") * F.element_at(vectors.literal(done.values), F.col("k") + 1)).alias("u"))
+    return scaled.join(done.right, "k").groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("v"))

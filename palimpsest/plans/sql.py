@@ -28,6 +28,25 @@ def tokens(x: str) -> str:
     return TOKENS.format(x)
 
 
+def marked(x: str) -> str:
+    """Each word between two control characters: RE2 has no lookaround, and its word boundaries know ASCII only."""
+    return f"regexp_replace({x}, '({W}+)', chr(1) || '\\1' || chr(2), 'g')"
+
+
+def unmarked(x: str) -> str:
+    return f"translate({x}, chr(1) || chr(2), '')"
+
+
+#: White space of all scripts.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+NAMES = rf"\x01[A-Z][a-z]+\x02(?:{WHITE}+\x01[A-Z][a-z]+\x02)*"
+
+
+def answer_tokens(x: str) -> str:
+    bare = f"regexp_replace({unmarked(f"regexp_replace({marked(f'lower({x})')}, '\\x01(a|an|the)\\x02', ' ', 'g')")}, '[^\\p{{L}}\\p{{N}}_\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]', '', 'g')"
+    return f"list_filter(string_split_regex({bare}, '{WHITE}+'), lambda t: t <> '')"
+
+
 def phrase(x: str) -> str:
     return f"trim(lower(trim({x}, ' ' || chr(9) || chr(10) || chr(13))), {PUNCT})"
 

@@ -1,4 +1,7 @@
-"""A document stream cut into pages of so many tokens, whatever the documents' ends."""
+"""A document stream cut into pages of so many tokens, whatever the documents' ends.
+
+Documents come in order of doc_id, a null one first; those that share an identifier in a fixed order, by the hash of their text.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +9,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-
-#: Documents whose counts are summed together before sums of sums.
-GROUP = 4096
+from .store import kept
 
 
-def running_starts(counts: DataFrame, key: str = "doc_id", n: str = "n") -> DataFrame:
-    """(key, n, start): the sum of ``n`` over all smaller integer keys.
+def running_starts(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """``counts`` with a column start: the sum of ``n`` over all rows that come before by ``keys``, which tell rows apart.
 
-    In two levels: within groups of neighbouring keys, and over the groups' totals. Only these, one row for GROUP keys, are
-    ever in one partition.
+    Rows are dealt out by ranges of their keys, as many to each, whatever the keys' distances. Sums are taken within ranges and over the
+    ranges' totals; only these, one row for each partition, are ever in one task.
     """
-    grouped = counts.withColumn("__group", F.floor(F.col(key) / GROUP))
-    totals = grouped.groupBy("__group").agg(F.sum(n).alias("__total"))
-    before = totals.withColumn("__before", F.sum("__total").over(Window.orderBy("__group")) - F.col("__total")).drop("__total")
-    within = F.sum(n).over(Window.partitionBy("__group").orderBy(key)) - F.col(n)
-    return grouped.withColumn("__within", within).join(before, "__group").withColumn("start", F.col("__before") + F.col("__within")).drop("__group", "__within", "__before")
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    ranged = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = kept(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}), "ranged")
+    totals = ranged.groupBy("__part").agg(F.sum(n).alias("__total"))
+    before = totals.select("__part", (F.sum("__total").over(Window.orderBy("__part")) - F.col("__total")).alias("__before"))
+    within = F.sum(n).over(Window.partitionBy("__part").orderBy("__place")) - F.col(n)
+    joined = ranged.withColumn("__within", within).join(F.broadcast(before), "__part")
+    return joined.withColumn("start", F.col("__before") + F.col("__within")).drop("__part", "__place", "__before", "__within")
 
 
-def pages(docs: DataFrame, page_size: int = fixed.PAGE_SIZE, start: int = 0) -> DataFrame:
-    """(page_seq, page_id, text, token_count): pages in order of doc_id; the last may be short.
+def token_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, tokens, n, copies): each different text of an identifier once, with the number of its rows."""
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("digest"), "text").where("digest IS NOT NULL")
+    each = rows.groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return each.select("doc_id", "digest", text.tokens(F.col("text")).alias("tokens"), "copies").withColumn("n", F.size("tokens").cast("long")).where("n > 0")
 
-    Documents are sliced as arrays, not exploded to tokens; ``start``: tokens that earlier input has filled already.
+
+def parts(docs: DataFrame, page_size: int = fixed.PAGE_SIZE, start: int = 0) -> DataFrame:
+    """(page_seq, start, part): the tokens that each row gives to each page; ``start`` tells their order.
+
+    Copies are counted, not moved; a text is sliced into its pages before these become rows, so it is carried once.
+    ``start``: tokens that earlier input has filled already.
     """
-    split = docs.select("doc_id", text.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens").cast("long")).where("n > 0")
-    starts = running_starts(split.select("doc_id", "n")).select("doc_id", (F.col("start") + F.lit(start)).alias("start"))
+    rows = token_rows(docs)
+    # Counts are taken from their own pass over the texts, which takes no text along.
+    counts = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.size(text.tokens(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    counts = counts.groupBy("doc_id", "digest").agg(F.sum("n").alias("n"))
+    starts = running_starts(counts, ["doc_id", "digest"]).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("start") + F.lit(start)).alias("first"))
+    placed = rows.join(starts, rows.doc_id.eqNullSafe(F.col("__id")) & (rows.digest == F.col("__digest"))).select("tokens", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "first")
+    placed = placed.select("tokens", "n", (F.col("first") + F.col("copy") * F.col("n")).alias("start"))
     size = F.lit(page_size)
-    spread = split.join(starts, "doc_id").select("start", "n", "tokens", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))).alias("page_seq"))
-    first = F.greatest(F.lit(0), F.col("page_seq") * size - F.col("start"))
-    last = F.least(F.col("n"), (F.col("page_seq") + 1) * size - F.col("start"))
-    parts = spread.select("page_seq", "start", F.slice("tokens", (first + 1).cast("int"), (last - first).cast("int")).alias("part"))
-    joined = parts.groupBy("page_seq").agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("parts"))
-    tokens = F.flatten(F.transform("parts", lambda p: p["part"]))
-    return joined.select("page_seq", text.beacon_id("page", F.col("page_seq")).alias("page_id"), F.array_join(tokens, " ").alias("text"), F.size(tokens).alias("token_count"))
+    numbers = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))
+
+    def piece(page):
+        first = F.greatest(F.lit(0), page * size - F.col("start"))
+        last = F.least(F.col("n"), (page + 1) * size - F.col("start"))
+        return F.struct(page.alias("page_seq"), (F.col("start") + first).alias("start"), F.slice("tokens", (first + 1).cast("int"), (last - first).cast("int")).alias("part"))
+
+    return placed.select(F.explode(F.transform(numbers, piece)).alias("p")).select("p.*")
+
+
+def joined_pages(pieces: DataFrame) -> DataFrame:
+    """(page_seq, page_id, text, token_count) of pieces of pages; the last page may be short."""
+    tokens = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda p: p["part"]))
+    joined = pieces.groupBy("page_seq").agg(tokens.alias("tokens"))
+    return joined.select("page_seq", text.beacon_id("page", F.col("page_seq")).alias("page_id"), F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("token_count"))
+
+
+def pages(docs: DataFrame, page_size: int = fixed.PAGE_SIZE, start: int = 0) -> DataFrame:
+    """Pages of (doc_id, text): (page_seq, page_id, text, token_count)."""
+    return joined_pages(parts(docs, page_size, start))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -54,8 +56,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
+    """A new path in the folder that the cluster shares; a machine's own will do only where all executors are on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "palimpsest")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

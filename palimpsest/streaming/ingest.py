@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import fixed, text
+from ..functions import fixed
 from ..operators import extraction, graph
-from ..sources.paging import running_starts
+from ..sources import paging
+
+PARTS = "page_seq long, start long, part array<string>"
 
 
 class Ingest:
@@ -28,26 +30,16 @@ class Ingest:
         return int(done.agg(F.sum("n")).first()[0] or 0)
 
     def add(self, docs: DataFrame, batch: int) -> None:
-        start = self._before(batch)
-        split = docs.select("doc_id", text.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens").cast("long")).where("n > 0")
-        starts = running_starts(split.select("doc_id", "n")).select("doc_id", (F.col("start") + F.lit(start)).alias("start"))
-        size = F.lit(self.page_size)
-        pages = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))
-        rows = split.join(starts, "doc_id").select("start", "n", "tokens", F.explode(pages).alias("page_seq"))
-        first = F.greatest(F.lit(0), F.col("page_seq") * size - F.col("start"))
-        last = F.least(F.col("n"), (F.col("page_seq") + 1) * size - F.col("start"))
-        parts = rows.select("page_seq", (F.col("start") + first).alias("start"), F.slice("tokens", (first + 1).cast("int"), (last - first).cast("int")).alias("part"))
-        parts.write.mode("overwrite").parquet(f"{self.path}/parts/{batch}")
-        split.agg(F.lit(batch).cast("long").alias("batch"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/offsets/{batch}")
+        pieces = paging.parts(docs, self.page_size, self._before(batch))
+        pieces.write.mode("overwrite").parquet(f"{self.path}/parts/{batch}")
+        written = self.spark.read.schema(PARTS).parquet(f"{self.path}/parts/{batch}")
+        written.agg(F.lit(batch).cast("long").alias("batch"), F.coalesce(F.sum(F.size("part").cast("long")), F.lit(0)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/offsets/{batch}")
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
 
     def pages(self) -> DataFrame:
-        parts = self.spark.read.schema("page_seq long, start long, part array<string>").parquet(f"{self.path}/parts/*")
-        tokens = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda p: p["part"]))
-        joined = parts.groupBy("page_seq").agg(tokens.alias("tokens"))
-        return joined.select("page_seq", text.beacon_id("page", F.col("page_seq")).alias("page_id"), F.array_join("tokens", " ").alias("text"), F.size("tokens").alias("token_count"))
+        return paging.joined_pages(self.spark.read.schema(PARTS).parquet(f"{self.path}/parts/*"))
 
     def graph(self) -> dict[str, DataFrame]:
         found = extraction.triples(self.pages())

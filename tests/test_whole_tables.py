@@ -34,14 +34,14 @@ def both(folder):
 def test_entities(spark, folder):
     for at in both(folder):
         want = Counter(n.lower() for _, t in rows(spark, at, "documents") for n in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", t))
-        got = {r.name: r.frequency for r in registry.QUERIES["all_entities"](spark, at).collect()}
+        got = {r.name: r.frequency for r in registry.QUERIES["entities"](spark, at).collect()}
         assert got == dict(want)
 
 
 def test_normalised_answers(spark, folder):
     for at in both(folder):
         want = {(c, n): plain_answer(t) for c, n, t in rows(spark, at, "conversations")}
-        got = {(r.conv_id, r.turn): r.answer for r in registry.QUERIES["all_normalised_answers"](spark, at).collect()}
+        got = {(r.conv_id, r.turn): r.answer for r in registry.QUERIES["normalised_answers"](spark, at).collect()}
         assert got == want
 
 
@@ -54,5 +54,5 @@ def test_token_f1(spark, folder):
                 gold, said = turns[c, 0].split(), turns[c, 1].split()
                 common = sum((Counter(gold) & Counter(said)).values())
                 want[c] = (round(2 * common / (len(gold) + len(said)), 6) if common else 0.0, float(gold == said))
-        got = {r.id: (r.f1, r.em) for r in registry.QUERIES["all_token_f1"](spark, at).collect()}
+        got = {r.id: (r.f1, r.em) for r in registry.QUERIES["token_f1"](spark, at).collect()}
         assert {c: (round(f, 6), e) for c, (f, e) in got.items()} == want
