@@ -5,8 +5,9 @@ An archive is a ZIP file of stored members: ``archive/data.warc.gz``, one gzip m
 fetches each record by its range; nothing is extracted.
 
 Of equal payloads of at least ``revisit_bytes`` the one with the largest page_id is a response and the others are
-revisits without payload. Payloads never leave their task: only digests are shuffled, and the
-groups of more than one come back by a join that is a broadcast if their table is small and a sort-merge join if not.
+revisits without payload. Payloads are equal if their length, SHA-1 and SHA-256 are: different ones with one SHA-1 are public. Only digests are
+shuffled to find the groups of more than one; these come back by a join: payloads stay in their task as long as the table of groups
+is small enough to be broadcast, and are shuffled once if not.
 
 Archives go to the shared folder under names of their own; a table of those that were finished is written last, so
 archives of lost or repeated tasks are never read.
@@ -111,7 +112,7 @@ class _Archive:
         files.create_dir(inner.rpartition("/")[0], recursive=True)
         with files.open_output_stream(inner) as out:
             pack = zips.Writer(out, self.zip64)
-            pack.add(DATA, bytes(self.data))
+            pack.add(DATA, self.data)
             pack.add(INDEX, "\n".join(self.lines).encode())
             pack.close()
             return self.path, len(self.lines), pack.at
@@ -122,8 +123,10 @@ def write(pages: DataFrame, folder: str | None = None, *, revisit_bytes: int = R
     folder = folder or scratch(pages.sparkSession, "warc")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    groups = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response", F.lit(True).alias("many"))
-    joined = rows.join(written(groups, "payloads"), "digest", "left").select("page_id", "url", "payload", "digest", "response", (F.col("many") & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"))
+    long = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy("digest", F.unhex(F.sha2("payload", 256)).alias("whole"), F.octet_length("payload").alias("size"))
+    groups = written(long.agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "whole", "size", "response", F.lit(True).alias("many")), "payloads")
+    same = (rows.digest == F.col("__digest")) & (F.octet_length(rows.payload) == F.col("size")) & (F.unhex(F.sha2(rows.payload, 256)) == F.col("whole"))
+    joined = rows.join(groups, same, "left").select("page_id", "url", "payload", "digest", "response", (F.col("many") & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = _Archive(folder, zip64), []
