@@ -16,6 +16,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -36,7 +40,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, df.scratch_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,42 +65,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Of a bitmap filter over keys: 1 MiB whatever their number, in rows of 4 KiB. A full one only costs time.
+#: Of a bitmap filter over keys: rows of 4 KiB; 1 MiB unless the keys are counted first, then BITS_A_KEY for each within bounds. A full one only costs time.
 FILTER_BITS, ROW_BITS = 1 << 23, 1 << 15
+BITS_A_KEY, MOST_BITS = 16, 1 << 29
+
 
+def bits_for(n: int) -> int:
+    """Length of a filter of ``n`` keys: a power of two from FILTER_BITS to MOST_BITS (64 MiB)."""
+    return min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_A_KEY * max(1, n) - 1).bit_length()))
 
-def bit_position(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
+def bit_position(key: Column, bits: int = FILTER_BITS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
 
-def bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """(bucket, bits): a filter over a column; at most FILTER_BITS / ROW_BITS rows."""
-    at = bit_position(F.col(column))
+
+def bitmap(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """(bucket, bits): a filter over a column; at most ``bits`` / ROW_BITS rows."""
+    at = bit_position(F.col(column), bits)
     return keys.groupBy(F.floor(at / ROW_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(at, F.lit(ROW_BITS))).alias("bits"))
 
 
-def marked(rows: DataFrame, bits: DataFrame, key: Column, flag: str) -> DataFrame:
-    """``rows`` with a column that is false where the filter can't have the key; broadcasts the filter, whose size is fixed."""
-    at = bit_position(key)
+def marked(rows: DataFrame, filter_: DataFrame, key: Column, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with a column that is false where the filter can't have the key; broadcasts the filter, whose size is bounded.
+
+    ``rows`` must have no columns called __bucket, __bits or ``flag``."""
+    at = bit_position(key, bits)
     bit = F.pmod(at, F.lit(ROW_BITS))
     byte = F.conv(F.hex(F.col("__bits").substr((F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    named = bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    named = filter_.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
     joined = rows.join(F.broadcast(named), F.floor(at / ROW_BITS) == F.col("__bucket"), "left")
     set_ = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
     return joined.withColumn(flag, F.coalesce(set_, F.lit(False))).drop("__bucket", "__bits")
 
 
-def without(rows: DataFrame, gone: DataFrame, id_col: str, prepare=lambda df: df, condition=None) -> DataFrame:
-    """``rows`` less those that match a row of ``gone`` (__id and what ``condition`` asks for); all columns stay.
+def packed(rows: DataFrame, **more: Column) -> DataFrame:
+    """(row, ...): all columns of ``rows`` in one struct, so that what is added beside it can't clash with them."""
+    return rows.select(F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def without(rows: DataFrame, gone: DataFrame, id_col: str, digest: Column | None = None) -> DataFrame:
+    """``rows`` less those that match a row of ``gone`` (__id, and __digest if ``digest`` is given); all columns stay.
 
     Rows that a filter over __id lets pass never move; the others, few unless the filter is full, meet ``gone`` in a join.
-    ``prepare`` adds to these what ``condition`` needs.
     """
-    flagged = marked(rows, bitmap(gone, "__id"), rows[id_col].cast("long"), "__may")
-    doubtful = prepare(flagged.where("__may"))
-    same = doubtful[id_col].cast("long").eqNullSafe(gone["__id"])
-    left = doubtful.join(gone, same if condition is None else same & condition(doubtful), "left_anti")
-    return flagged.where("NOT __may").select(*rows.columns).unionByName(left.select(*rows.columns))
+    bits = bits_for(gone.count())
+    flagged = marked(packed(rows, key=rows[id_col].cast("long"), **({} if digest is None else {"own": digest})), bitmap(gone, "__id", bits), F.col("key"), "may", bits)
+    same = F.col("key").eqNullSafe(F.col("__id"))
+    left = flagged.where("may").join(gone, same if digest is None else same & (F.col("own") == F.col("__digest")), "left_anti")
+    return flagged.where("NOT may").select("row.*").unionByName(left.select("row.*"))
 
 
 def _give_back() -> None:
