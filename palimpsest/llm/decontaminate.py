@@ -6,7 +6,8 @@ shard answers all phrases at once by backward search through wavelet-matrix rank
 suffix positions and merged into removal spans. Documents are never shuffled.
 
 Phrases are broadcast. Their size is measured first: beyond ``block_bytes`` they are searched in blocks of about
-that size, each against all documents, and the spans of all blocks are merged.
+that size, one after the other, each against all documents; what a block finds is written before the next is made, and the spans of all
+blocks are merged. A block takes about a hundred times its text in the driver's memory, seventeen times it in a worker's.
 
 Defined results: a null or empty text has no words; a null or empty item has no phrases; an item of fewer words than the
 window is one phrase; a null identifier keeps its row, a null item_id counts as the empty string; repeated rows are
@@ -20,15 +21,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, texts_of, written
+from .common import lean, packed, texts_of, written
 from .fm_index import FMIndex
 
 WINDOW = 10
 #: Of item texts that are broadcast at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20
 #: Of the texts of a shard.
 SHARD_BYTES = 8 << 20
 #: Of a text that is cut into words at a time.
@@ -173,21 +175,22 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_b
 def _find(keyed: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, item_col: str, item_text_col: str) -> DataFrame:
     context = keyed.sparkSession.sparkContext
 
-    def search(phrases: Phrases) -> DataFrame:
-        shared = context.broadcast(phrases)
-
+    def search(shared: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield _found(batch, shared.value.scan(t.as_py().encode() for t in batch.column(2)))
 
         return keyed.mapInArrow(lean(scan), FOUND)
 
-    found = [search(p) for p in _blocks(_items(benchmark, item_col, item_text_col), block_bytes, window)[1]]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    n, blocks = _blocks(_items(benchmark, item_col, item_text_col), block_bytes, window)
+    if n == 1:
+        return search(context.broadcast(next(blocks)))
+    keyed, every = written(keyed, "keyed"), None  # each block reads the same numbers of rows
+    for phrases in blocks:
+        shared = context.broadcast(phrases)
+        found = written(search(shared), "found")
+        shared.destroy()
+        every = found if every is None else every.unionByName(found)
     grouped = every.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +235,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block
 
         return docs.mapInArrow(lean(cut), docs.schema)
 
-    keyed = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "keyed")
-    found = _find(keyed.select(F.col("__rid").alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), benchmark, window, block_bytes, "item_id", "text")
-    spans = written(found.where(F.size("spans") > 0).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans")), "spans")
+    keyed = written(packed(docs, rid=F.monotonically_increasing_id()), "keyed")
+    found = _find(keyed.select("rid", F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")).alias("text")), benchmark, window, block_bytes, "item_id", "text")
+    spans = written(found.where(F.size("spans") > 0).select("rid", "spans"), "spans")
 
     def cut_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield emit(batch, [[(x["start"], x["stop"]) for x in s or ()] for s in batch.column(len(names)).to_pylist()])
 
-    joined = keyed.join(spans, "__rid", "left").select(*[keyed[c] for c in names], "__spans")
-    return joined.mapInArrow(lean(cut_joined), docs.schema)
+    joined = keyed.join(spans, "rid", "left").select("row", "spans")
+    # Spans come last, under a name that no other column has.
+    last = "spans" + "_" * max(map(len, names))
+    return joined.select("row.*", F.col("spans").alias(last)).mapInArrow(lean(cut_joined), docs.schema)
