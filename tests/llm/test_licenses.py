@@ -21,6 +21,21 @@ def test_scan(spark):
     assert got == sorted(want, key=str)
 
 
+def test_entire_texts_of_every_kind(spark):
+    import hashlib
+    import os
+
+    texts = [(spdx, "(c) 1999 X\n" + text.lower()) for spdx, text in license_texts.TEXTS.items()]
+    # Long ones are known by digest; where a system keeps their texts, these are found.
+    files = {"Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "CC0-1.0": "CC0-1.0"}
+    texts += [(spdx, open(f"/usr/share/common-licenses/{f}").read()) for spdx, f in files.items() if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in licenses.scan(df).collect()}
+    assert got == {i: spdx for i, (spdx, _) in enumerate(texts)}
+    digests = [d for every in license_texts.DIGESTS.values() for d in every]
+    assert len(set(digests)) == len(digests) and all(len(bytes.fromhex(d)) == hashlib.sha256().digest_size for d in digests)
+
+
 def test_notices_pass_the_first_look():
     import re
 
