@@ -2,9 +2,9 @@
 
 *Base.* E-mail addresses, IPv4 addresses, card and telephone numbers are the protected entities.
 *Disclosure.* For an entity e and a term t of the words around it, the corpus gives their pointwise mutual information
-``log(n_te N / (n_t n_e))``, from numbers of documents: of all, with e, with t anywhere, with t near e. Its share of the
-entity's own information ``log(N / n_e)`` is the part of it that the term discloses; 1 if t stands only near e.
-Terms seen near e in one context only (copies of a passage among them) say nothing and are passed over.
+``log(n_te N / (n_t n_e))``, from numbers of different texts (copies count once): of all, with e, with t anywhere, with t near e. Its share of
+the entity's own information ``log(N / n_e)`` is the part of it that the term discloses. A meeting may be chance, the more so the fewer there
+are: ``DISCOUNT`` of one is taken off ``n_te``. A term that stands near e alone discloses nearly all, however often e is met.
 *Sanitisation.* A term that discloses at least ``threshold`` of some entity is a span of kind ``term``
 wherever it stands; ``sanitise`` generalises it to its kind of word, or removes it from ``removal`` on.
 
@@ -12,8 +12,8 @@ All counts are over all documents. Term counts are kept only of words that a bit
 (``FILTER_BITS``) lets through: those that may be a candidate; a full filter costs time, not results. Entities, terms
 and their pairs are combined before each shuffle.
 
-Defined results: a null or empty text has no spans; a null identifier keeps its row; repeated rows are judged each (copies
-count as documents, but as one context); an empty table gives an empty result; ``find`` ignores other columns.
+Defined results: a null or empty text has no spans; a null identifier keeps its row; repeated rows are judged each (but count
+once); an empty table gives an empty result; ``find`` ignores other columns.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, ROW_BITS, bitmap, lean, texts_of, written
+from .common import FILTER_BITS, ROW_BITS, bitmap, bits_for, lean, marked, packed, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which a term is a span, and from which it is removed rather than generalised.
 THRESHOLD, REMOVAL = 0.8, 0.95
+#: Of a text, taken off the number of texts in which a term is met near an entity.
+DISCOUNT = 0.5
 #: Words on each side of an entity that count as near, characters looked at for them, and the least bytes of a term.
 NEAR_WORDS, NEAR_CHARS, LEAST_BYTES = 8, 400, 3
 #: Words whose place in the filter a worker remembers.
@@ -100,49 +102,48 @@ def terms_of(words: list[bytes]) -> list[bytes]:
     return [w for w in words if len(w) >= LEAST_BYTES and not w.isdigit()]
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, list[str]]]:
-    """(entity, digest of its context, terms near it) for each base span."""
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[str]]]:
+    """(entity, terms near it) for each base span."""
     blank = masked(text, spans)
     for kind, a, b in spans:
         left = blank[max(0, a - NEAR_CHARS) : a].encode().translate(TERM_BYTES).split()
         right = blank[b : b + NEAR_CHARS].encode().translate(TERM_BYTES).split()
         # The slices may cut a word at their far ends.
         near = left[1 if a > NEAR_CHARS else 0 :][-NEAR_WORDS:] + right[: -1 if len(blank) > b + NEAR_CHARS else None][:NEAR_WORDS]
-        digest = int.from_bytes(hashlib.blake2b(b" ".join(near), digest_size=8).digest(), "big", signed=True)
-        yield entity_of(kind, text[a:b]), digest, sorted({w.decode() for w in terms_of(near)})
+        yield entity_of(kind, text[a:b]), sorted({w.decode() for w in terms_of(near)})
 
 
 def digest_of(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+    """That of the engine's own function sha2."""
+    return hashlib.sha256(text.encode()).digest()
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-BASE = "doc_id long, digest binary, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,context:long,term:string>>, entities array<string>"
+BASE = "doc_id long, digest binary, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string>>, entities array<string>"
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pair = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string())]))
+    pair = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
     for batch in batches:
         rows = []
         for text in batch.column(1):
             text = text.as_py()
             spans = base_spans(text)
             n = Counter(k for k, _, _ in spans)
-            near = [{"entity": e, "context": c, "term": t} for e, c, terms in contexts(text, spans) for t in terms] if spans else []
-            near = list({(x["entity"], x["context"], x["term"]): x for x in near}.values())
+            near = [{"entity": e, "term": t} for e, t in sorted({(e, t) for e, terms in contexts(text, spans) for t in terms})] if spans else []
             rows.append((digest_of(text), *(n[k] for k in KINDS), _joined(spans), near, sorted({entity_of(k, text[a:b]) for k, a, b in spans})))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
         kinds = [pa.binary(), *[pa.int64()] * 4, pa.string(), pair, pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "digest", "n_email", "n_ip", "n_card", "n_phone", "base", "near", "entities"])
 
 
-def bitmap_of(terms: DataFrame) -> bytes:
-    """Filter over the column ``term``; FILTER_BITS long whatever the number of rows."""
+def bitmap_of(rows: DataFrame, column: str) -> bytes:
+    """Filter over a column of strings; FILTER_BITS long whatever the number of rows."""
     out = bytearray(FILTER_BITS // 8)
-    for bucket, bits in bitmap(terms, "term").collect():
+    for bucket, bits in bitmap(rows, column).collect():
         out[bucket * ROW_BITS // 8 : (bucket + 1) * ROW_BITS // 8] = bits
     return bytes(out)
 
@@ -158,48 +159,65 @@ class Filter(dict):
     def __missing__(self, word: bytes) -> bool:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        at = self.hash(word, 42) % FILTER_BITS
-        has = self[word] = bool(self.bitmap[at >> 3] >> (at & 7) & 1)
+        has = self[word] = self.has(word)
         return has
 
+    def has(self, word: bytes) -> bool:
+        at = self.hash(word, 42) % FILTER_BITS
+        return bool(self.bitmap[at >> 3] >> (at & 7) & 1)
+
 
-@lru_cache(2)
+@lru_cache(3)
 def _filter(bitmap: bytes) -> Filter:
     return Filter(bitmap)
 
 
-def term_counts(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, n_t): documents with the term anywhere, of all words that may be candidates."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(candidates.select("term")))
+def term_counts(texts: DataFrame, candidates: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(term, n_t): different texts with the term anywhere, of all words that may be candidates.
+
+    ``repeated`` (digest): texts that more than one row has. What a filter over them lets pass is counted by (digest, term), once a task.
+    """
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast((bitmap_of(candidates, "term"), bitmap_of(repeated.select(F.hex("digest").alias("digest")), "digest")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _filter(shared.value), Counter()
+        (known, copied), total, again = map(_filter, shared.value), Counter(), set()
         for batch in batches:
             for text in batch.column(0):
-                words = set(text.as_py().encode().translate(TERM_BYTES).split())
-                total.update(filter(known.__getitem__, words))
-            if len(total) > CACHE_WORDS:
-                yield emit(total)
-                total = Counter()
-        yield emit(total)
-
-    def emit(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-    return texts.select("text").mapInArrow(lean(count), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-
-
-def disclosing(base: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+                text = text.as_py()
+                words = set(text.encode().translate(TERM_BYTES).split())
+                if copied.has((digest := digest_of(text)).hex().upper().encode()):
+                    again.update((digest, w) for w in filter(known.__getitem__, words))
+                else:
+                    total.update(filter(known.__getitem__, words))
+            if len(total) + len(again) > CACHE_WORDS:
+                yield emit(total, again)
+                total, again = Counter(), set()
+        yield emit(total, again)
+
+    def emit(total: Counter, again: set) -> pa.RecordBatch:
+        pairs = list(again)
+        words = [*(w.decode() for w in total), *(w.decode() for _, w in pairs)]
+        digests, n = [*[None] * len(total), *(d for d, _ in pairs)], [*total.values(), *[1] * len(pairs)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(digests, pa.binary()), pa.array(n, pa.int64())], names=["term", "digest", "n"])
+
+    found = texts.select("text").mapInArrow(lean(count), "term string, digest binary, n long")
+    # A null digest stands for texts that have no copies: their counts add up; others count once.
+    each = found.groupBy("term", "digest").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("digest").isNull(), F.col("n")).otherwise(1))
+    return each.groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(base: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, discount: float = DISCOUNT) -> DataFrame:
     """(term, disclosure): the terms that disclose at least ``threshold`` of some entity, and the most that they disclose."""
-    n = base.count()
-    pairs = base.select(F.explode("near").alias("x"), "doc_id").select("x.entity", "x.term", "x.context", "doc_id")
-    # A document counts once for a pair, however many contexts in it: the first of them carries the count.
-    near = base.select(F.explode(F.expr("array_distinct(transform(near, x -> struct(x.entity, x.term)))")).alias("x")).select("x.entity", "x.term").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    several = pairs.groupBy("entity", "term").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("entity", "term")
-    of_entity = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    candidates = written(several.join(near, ["entity", "term"]).join(of_entity, "entity"), "candidates")
-    counts = term_counts(texts, candidates)
-    mutual = F.log(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
+    copies = written(base.groupBy("digest").agg(F.count("*").alias("n")), "copies")
+    n = copies.count()
+    once = base.where(F.size("entities") > 0).groupBy("digest").agg(F.first("near").alias("near"), F.first("entities").alias("entities"))
+    once = written(once.select("near", "entities"), "once")
+    near = once.select(F.explode("near").alias("x")).select("x.entity", "x.term").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    of_entity = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    candidates = written(near.join(of_entity, "entity"), "candidates")
+    counts = term_counts(texts, candidates, copies.where("n > 1").select("digest"))
+    mutual = F.log((F.col("n_te") - F.lit(discount)) * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n_e") < n, mutual / F.log(F.lit(float(n)) / F.col("n_e"))).otherwise(F.lit(0.0))
     found = candidates.join(counts, "term").withColumn("disclosure", share)
     return found.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold)
@@ -227,7 +245,7 @@ def term_places(text: str, known) -> dict[bytes, list[tuple[int, int]]]:
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(digest, spans): of each different text with disclosing terms, where they stand (start, end, term, disclosure)."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(terms.select("term")))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(terms, "term"))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _filter(shared.value)
@@ -266,6 +284,32 @@ def sanitise_text(text: str, terms: list[tuple[int, int, str, float]], removal:
     return "".join([*out, text[at:]])
 
 
-def information(n: int, n_e: int, n_t: int, n_te: int) -> float:
+def sanitise(docs: DataFrame, *, threshold: float = THRESHOLD, removal: float = REMOVAL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with sanitised texts; null stays null, other columns stay whatever their names.
+
+    Only texts in which a filter may have a disclosing term meet their spans in a join.
+    """
+    texts = texts_of(docs, id_col, text_col)
+    base = written(texts.mapInArrow(lean(_base), BASE), "entities")
+    spans = written(term_spans(texts, written(disclosing(base, texts, threshold), "terms")), "spans")
+    bits = bits_for(spans.count())
+    own = F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+    flagged = marked(packed(docs, digest=own), bitmap(spans, "digest", bits), F.col("digest"), "may", bits)
+    named = spans.select(F.col("digest").alias("__digest"), "terms")
+    doubtful = flagged.where("may").join(named, F.col("digest") == F.col("__digest"), "left").select("row", "terms")
+    every = flagged.where("NOT may").select("row", F.lit(None).cast(spans.schema["terms"].dataType).alias("terms")).unionByName(doubtful)
+    names = docs.columns
+    at, last = names.index(text_col), "terms" + "_" * max(map(len, names))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [[(x["start"], x["end"], x["term"], x["disclosure"]) for x in m or ()] for m in batch.column(len(names)).to_pylist()]
+            new = [None if t is None else sanitise_text(t, m, removal) for t, m in zip(batch.column(at).to_pylist(), marks, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
+
+    return every.select("row.*", F.col("terms").alias(last)).mapInArrow(lean(clean), docs.schema)
+
+
+def information(n: int, n_e: int, n_t: int, n_te: int, discount: float = DISCOUNT) -> float:
     """Share of an entity's information that a term discloses."""
-    return math.log(n_te * n / (n_t * n_e)) / math.log(n / n_e) if n_e < n else 0.0
+    return math.log((n_te - discount) * n / (n_t * n_e)) / math.log(n / n_e) if n_e < n else 0.0

@@ -44,19 +44,16 @@ def test_base_spans_by_example(text):
 def brute(rows, threshold):
     """The whole method, document by document."""
     texts = [t or "" for _, t in rows]
-    n, n_e, n_t, n_te, seen = len(texts), {}, {}, {}, {}
-    for text in texts:
+    n, n_e, n_t, n_te = len(set(texts)), {}, {}, {}
+    for text in set(texts):  # copies count once
         spans = pii.base_spans(text)
-        near = [(e, c, t) for e, c, terms in pii.contexts(text, spans) for t in terms]
         for e in {pii.entity_of(k, text[a:b]) for k, a, b in spans}:
             n_e[e] = n_e.get(e, 0) + 1
-        for pair in {(e, t) for e, _, t in near}:
+        for pair in {(e, t) for e, terms in pii.contexts(text, spans) for t in terms}:
             n_te[pair] = n_te.get(pair, 0) + 1
-        for e, c, t in near:
-            seen.setdefault((e, t), set()).add(c)
         for w in set(text.encode().translate(pii.TERM_BYTES).split()):
             n_t[w.decode()] = n_t.get(w.decode(), 0) + 1
-    flagged = {t for (e, t), c in seen.items() if len(c) > 1 and pii.information(n, n_e[e], n_t[t], n_te[e, t]) >= threshold}
+    flagged = {t for (e, t), k in n_te.items() if pii.information(n, n_e[e], n_t[t], k) >= threshold}
     out = []
     for (doc_id, _), text in zip(rows, texts, strict=True):
         spans = pii.base_spans(text)
@@ -73,11 +70,15 @@ ROWS = [(i, f"Filler number{i} of talk. " + ("Zephyrine Quux writes from zq@mail
 ROWS += [(100, None), (101, ""), (None, "Zephyrine alone, é ZEPHYRINE 4111 1111 1111 1111"), (102, "w " * 60_000 + "quux"), (102, "w " * 60_000 + "quux")]
 
 
+# Entities with one mention, alone or in copies: what stands near them and hardly anywhere else gives them away.
+ROWS += [(200 + i, "Ask Wilhelmina on +49 30 1234567 about the mail.") for i in range(5)] + [(210, "Barnaby has 10.1.2.3 and filler."), (211, "talk of mail")]
+
+
 def test_against_brute_force(spark):
     df = spark.createDataFrame([(*r, "x", b"") for r in ROWS], "doc_id long, text string, term string, digest binary")
     got = [(r.doc_id, r.base, [(t.start, t.end, t.term) for t in r.terms or ()]) for r in pii.find(df).collect()]
     want, flagged = brute(ROWS, pii.THRESHOLD)
-    assert {"zephyrine", "quux"} <= flagged and "talk" not in flagged
+    assert {"zephyrine", "quux", "barnaby", "wilhelmina"} <= flagged and not {"talk", "about", "filler", "mail"} & flagged
     assert sorted(got, key=str) == sorted(((d, pii._joined(s), t) for d, s, t in want), key=str)
 
 
@@ -86,7 +87,19 @@ def test_sanitised_text():
     assert pii.sanitise_text(text, [(15, 19, "quux", 1.0), (20, 22, "7x", 0.85)]) == "Zoë at [email],  [number]"
 
 
+def test_sanitised_table(spark):
+    df = spark.createDataFrame([(*r, "x", b"") for r in ROWS], "doc_id long, text string, row string, terms binary")
+    got = sorted(((r.doc_id, r.text, r.row, r.terms) for r in pii.sanitise(df).collect()), key=str)
+    terms = {r.doc_id: r.terms or [] for r in pii.find(df).collect()}  # equal identifiers have equal texts here
+    want = [(i, None if t is None else pii.sanitise_text(t, [(x.start, x.end, x.term, x.disclosure) for x in terms[i]]), "x", b"") for i, t in ROWS]
+    assert got == sorted(want, key=str)
+    whole = " ".join(t or "" for _, t, _, _ in got)
+    assert "zq@mail" not in whole and "10.1.2.3" not in whole and "Barnaby" not in whole and "Zephyrine" not in whole and "talk" in whole
+
+
 def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.sanitise(empty).count() == 0
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
