@@ -54,8 +54,8 @@ def is_concept(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Up to a terminator each; what follows the last one is dropped."""
-    return F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]"), F.lit(0))
+    """Up to a terminator each; what follows the last one is dropped. None begins within another: a long text is looked at once."""
+    return F.regexp_extract_all(text, F.lit(r"(?<![^.!?])[^.!?]++[.!?]"), F.lit(0))
 
 
 def beacon_id(prefix: str, n: Column) -> Column:

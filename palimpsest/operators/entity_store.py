@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,20 +82,24 @@ def statistics(docs: DataFrame, entity_table: DataFrame, relation_table: DataFra
     return row.select("total_text_chars", "total_entities", "total_relations", "total_facts", ratio.alias("compression_ratio"), (F.col("total_text_chars") / (1024 * 1024)).alias("estimated_original_mb"), (stored / 1024).alias("estimated_compressed_kb"))
 
 
-def similar(entity_table: DataFrame, query: str, k: int = 10, d: int = 64) -> DataFrame:
-    """(name, score): the ``k`` entities nearest to a query by exp of the negative squared distance; ties by name."""
+def with_vectors(entity_table: DataFrame, d: int = 64, m: int = 4, w: float = 10.0, seed: int = 42) -> DataFrame:
+    """``entity_table`` with columns embedding and bucket: what a store keeps for similarity, so that names are hashed once."""
+    embedded = entity_table.withColumn("embedding", vectors.concept_embedding(F.col("name"), d))
+    return embedded.withColumn("bucket", vectors.bucket(F.col("embedding"), d, m, w, seed))
+
+
+def similar(vector_table: DataFrame, query: str, k: int = 10, d: int = 64, m: int = 4, w: float = 10.0, seed: int = 42) -> DataFrame:
+    """(name, score): the ``k`` entities of the query's bucket, or of all if there is none, nearest by exp of the negative squared
+    distance; ties by name. ``vector_table``: as ``with_vectors`` makes it; stored by bucket, only one bucket is read unless it is empty."""
     tokens = query.lower().split()
     if not tokens:
-        return entity_table.sparkSession.createDataFrame([], "name string, score double")
+        return vector_table.sparkSession.createDataFrame([], "name string, score double")
     q = vectors.embed(tokens, d).mean(0)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = vectors.embed(batch.name.tolist(), d)
-                yield pd.DataFrame({"name": batch.name, "distance": ((x - q) ** 2).sum(1)})
-
-    near = entity_table.select("name").mapInPandas(scan, "name string, distance double").orderBy("distance", "name").limit(k)
+    planes, offsets = vectors.lsh_planes(d, m, w, seed)
+    own = F.array(*[F.lit(int(x)) for x in np.floor((planes @ q + offsets) / w)])
+    inside = vector_table.where(F.col("bucket") == own)
+    found = vector_table if inside.isEmpty() else inside
+    near = found.select("name", vectors.square_distance(F.col("embedding"), vectors.literal(q)).alias("distance")).orderBy("distance", "name").limit(k)
     return near.select("name", F.exp(-F.col("distance")).alias("score"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.paging import running_starts
 
 
 def token_f1(pairs: DataFrame) -> DataFrame:
@@ -58,12 +59,25 @@ def clean_rates(results: DataFrame) -> DataFrame:
 
 
 def index_percentiles(values: DataFrame, group: str, column: str) -> DataFrame:
-    """p50, p95, p99 by place in the sorted values, no interpolation; values are ranked, not gathered."""
-    n = F.count("*").over(Window.partitionBy(group))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(column)) - 1
-    rows = values.select(group, F.col(column).alias("x"), n.alias("n"), place.alias("i"))
-    pick = lambda share: F.max(F.when(F.col("i") == F.floor(F.col("n") * F.lit(share)), F.col("x")))
-    return rows.groupBy(group).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+    """p50, p95, p99 by place in the sorted values, no interpolation; nulls come first.
+
+    Equal values are counted first; places come from running sums by ranges, so that a group of any size is no single task's sort.
+    """
+    counts = values.groupBy(F.col(group).alias("group"), F.col(column).alias("x")).agg(F.count("*").alias("n"))
+    placed = running_starts(counts, ["group", "x"])
+    whole = placed.groupBy("group").agg(F.min("start").alias("first"), F.sum("n").alias("total"))
+    rows = placed.join(whole.withColumnRenamed("group", "__group"), F.col("group").eqNullSafe(F.col("__group")))
+    place = F.col("start") - F.col("first")
+    pick = lambda share: F.max(F.when((place <= F.floor(F.col("total") * F.lit(share))) & (F.floor(F.col("total") * F.lit(share)) < place + F.col("n")), F.col("x")))
+    return rows.groupBy(F.col("group").alias(group)).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+
+
+def telemetry(results: DataFrame, seconds: float) -> DataFrame:
+    """One row for a batch of answered queries that took so long: queries, failures, queries a second, tokens used, their mean and ratio to all
+    candidates' tokens, mean confidence."""
+    used, whole = F.sum("tokens_used"), F.sum("tokens_total")
+    row = results.agg(F.count("*").alias("queries"), F.count("error").alias("failed"), used.alias("tokens_used"), F.avg("tokens_used").alias("mean_tokens"), F.avg("confidence").alias("mean_confidence"), F.when(used > 0, whole / used).otherwise(0.0).alias("compression_ratio"))
+    return row.select("queries", "failed", (F.col("queries") / F.lit(float(seconds))).alias("queries_per_second"), "tokens_used", "mean_tokens", "mean_confidence", "compression_ratio")
 
 
 def summary(values: DataFrame, group: str, column: str) -> DataFrame:

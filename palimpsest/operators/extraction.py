@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 
-#: Texts longer than this are refused.
+#: Texts longer than this are refused by ``triples`` if it is strict.
 MAX_CHARS = 1_000_000
 W = text.WORD
 OF_PATTERN = rf"(?i)({W}+(?:\s+{W}+){{0,2}})\s+of\s+({W}+(?:\s+{W}+){{0,2}})"
@@ -49,18 +52,47 @@ def verb_triples(pages: DataFrame) -> DataFrame:
 
 def of_triples(pages: DataFrame) -> DataFrame:
     """(page_seq, ord, subject, predicate, object): "X of Y" as (Y, has, X), one to three words each side."""
-    rows = pages.select("page_seq", F.posexplode(_groups(F.col("text"), OF_PATTERN, 1, 2)).alias("m", "g"))
+    # No match begins within a word; said so, a long word is looked at once.
+    rows = pages.select("page_seq", F.posexplode(_groups(F.col("text"), rf"(?<!{W}){OF_PATTERN}", 1, 2)).alias("m", "g"))
     out = rows.select("page_seq", (F.lit(1 << 40) + F.col("m")).alias("ord"), text.phrase(F.col("g.g2")).alias("subject"), F.lit("has").alias("predicate"), text.phrase(F.col("g.g1")).alias("object"))
     return out.where(text.is_concept(F.col("subject")) & text.is_concept(F.col("object")))
 
 
-def triples(pages: DataFrame) -> DataFrame:
-    """(page_seq, ord, subject, predicate, object): both kinds, each triple once a page, at its first place."""
-    ok = pages.where(F.expr(f"assert_true(length(text) <= {MAX_CHARS}, 'text too long') IS NULL"))
+def triples(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """(page_seq, ord, subject, predicate, object): both kinds, each triple once a page, at its first place.
+
+    ``strict``: the job fails at a text of more than MAX_CHARS.
+    """
+    ok = pages.where(F.expr(f"assert_true(length(text) <= {MAX_CHARS}, 'text too long') IS NULL")) if strict else pages
     every = verb_triples(ok).unionByName(of_triples(ok))
     return every.groupBy("page_seq", "subject", "predicate", "object").agg(F.min("ord").alias("ord"))
 
 
+#: Extractors by name: each makes triples (page_seq, ord, subject, predicate, object) of pages.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"rules": triples}
+
+
+def register(name: str, extractor: Callable[[DataFrame], DataFrame]) -> None:
+    EXTRACTORS[name] = extractor
+
+
+def extract(pages: DataFrame, name: str = "rules") -> DataFrame:
+    if name not in EXTRACTORS:
+        raise ValueError(f"no extractor {name}; there are {', '.join(sorted(EXTRACTORS))}")
+    return EXTRACTORS[name](pages).select("page_seq", "ord", "subject", "predicate", "object")
+
+
+def of_function(function: Callable[[str], list[tuple[str, str, str]]]) -> Callable[[DataFrame], DataFrame]:
+    """An extractor of a Python function from a text to its triples, run on batches of pages; each triple once a page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(page, i, *t) for page, text_ in zip(batch.page_seq, batch.text, strict=True) for i, t in enumerate(dict.fromkeys(map(tuple, function(text_ or ""))))]
+            yield pd.DataFrame(rows, columns=["page_seq", "ord", "subject", "predicate", "object"])
+
+    return lambda pages: pages.select("page_seq", "text").mapInPandas(run, "page_seq long, ord long, subject string, predicate string, object string")
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, name): capitalised words and phrases, one row a mention."""
     rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY_PATTERN), F.lit(1))).alias("ord", "name"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,28 +159,44 @@ def random_projection(spark, sf_dir):
     return _rounded(rows.withColumn("j", F.col("j").cast("long")), "x")
 
 
-@query()
+def _projection_error_sql() -> str:
+    p = vectors.projection(64, 32, 42)
+    rest = np.eye(64) - p @ np.linalg.pinv(p)
+    parts = " + ".join(f"pow({sql.dot('embedding', sql.listed(col))}, 2)" for col in rest.T)
+    return f"SELECT vec_id, round(({parts}) / 64, 6) AS error FROM embeddings"
+
+
+@query(_projection_error_sql())
 def projection_error(spark, sf_dir):
     """Mean squared error of projecting to 32 dimensions and back."""
     e = table(spark, sf_dir, "embeddings")
     back = compression.unprojected(compression.projected(e, 64, 32, id_col="vec_id", vector_col="embedding"), 64, 32)
     joined = e.join(back, e.vec_id == back.id)
-    return joined.select("vec_id", (vectors.square_distance(F.col("embedding"), F.col("vector")) / 64).alias("error"))
+    return _rounded(joined.select("vec_id", (vectors.square_distance(F.col("embedding"), F.col("vector")) / 64).alias("error")), "error")
 
 
-def _asked(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+#: Of the vectors asked about, as many at a time are sent to all tasks.
+ASKED_BLOCK = 10_000
+
+
+def _against(spark, sf_dir) -> DataFrame:
+    """(query_id, vec_id, q, embedding): every fiftieth vector, a stated query set, with all; in blocks of a bounded size."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    blocks = -(-asked.count() // ASKED_BLOCK) or 1
+    parts = [e.join(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))) for k in range(blocks)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
 
 
 @query(f"SELECT x.vec_id AS query_id, y.vec_id, round({_COS}, 6) + 0.0::DOUBLE AS cos FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY {_COS} DESC, y.vec_id) <= 5")
 def cosine_topk(spark, sf_dir):
-    """The five nearest of every fiftieth vector: a stated query set against all rows."""
+    """The five nearest of each vector asked about; five a query from each task go on."""
     from pyspark.sql import Window
 
-    e, asked = _asked(spark, sf_dir)
-    # The largest magnitudes first: one broadcast of the query set, a top-k for each partial group.
-    scored = e.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("embedding")).alias("cos"))
+    scored = _against(spark, sf_dir).where("vec_id <> query_id").select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("embedding")).alias("cos"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "vec_id"))
     return _rounded(scored.withColumn("r", rank).where("r <= 5").drop("r"), "cos")
 
@@ -189,14 +206,12 @@ _DIST = "list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DO
 
 @query(f"SELECT x.vec_id AS query_id, y.vec_id, round(exp(-({_DIST})), 6) AS proximity FROM embeddings x, embeddings y WHERE x.vec_id % 50 = 0")
 def rbf_proximity(spark, sf_dir):
-    e, asked = _asked(spark, sf_dir)
-    return _rounded(e.join(F.broadcast(asked)).select("query_id", "vec_id", vectors.rbf(F.col("embedding"), F.col("q")).alias("proximity")), "proximity")
+    return _rounded(_against(spark, sf_dir).select("query_id", "vec_id", vectors.rbf(F.col("embedding"), F.col("q")).alias("proximity")), "proximity")
 
 
 @query(f"WITH d AS (SELECT x.vec_id AS query_id, y.vec_id, {_DIST} AS dist FROM embeddings x, embeddings y WHERE x.vec_id % 50 = 0), s AS (SELECT query_id, min(dist) + 2 * greatest(stddev_pop(dist), 1) AS reach FROM d GROUP BY 1) SELECT d.query_id, count(*) AS n FROM d JOIN s USING (query_id) WHERE dist <= reach + 1e-9 GROUP BY 1")
 def bucket_miss_candidates(spark, sf_dir):
-    e, asked = _asked(spark, sf_dir)
-    dist = e.join(F.broadcast(asked)).select("query_id", "vec_id", vectors.square_distance(F.col("embedding"), F.col("q")).alias("dist"))
+    dist = _against(spark, sf_dir).select("query_id", "vec_id", vectors.square_distance(F.col("embedding"), F.col("q")).alias("dist"))
     reach = dist.groupBy("query_id").agg((F.min("dist") + 2 * F.greatest(F.stddev_pop("dist"), F.lit(1.0))).alias("reach"))
     return dist.join(reach, "query_id").where("dist <= reach + 1e-9").groupBy("query_id").agg(F.count("*").alias("n"))
 
@@ -485,13 +500,31 @@ def store_statistics(spark, sf_dir):
     return _rounded(out, "compression_ratio", "estimated_original_mb", "estimated_compressed_kb")
 
 
-@query()
+ENTITY_QUERY = "the thing of it"
+
+
+def _similarity_sql() -> str:
+    q = vectors.embed(ENTITY_QUERY.split(), 64).mean(0)
+    planes, offsets = vectors.lsh_planes(64, 4, 10.0, 42)
+    own = [int(x) for x in np.floor((planes @ q + offsets) / 10.0)]
+    return f"""WITH m AS (SELECT {sql.unmarked('x')} AS n FROM (SELECT unnest(regexp_extract_all({sql.marked('text')}, {sql.q(sql.NAMES)})) AS x FROM documents)),
+names AS (SELECT DISTINCT lower(trim(n)) AS name FROM m WHERE length(n) >= 2),
+v AS (SELECT name, list_transform(list_zip({sql.listed(vectors.frequencies(64))}, {sql.listed(vectors.phases(64))}), lambda p: cos(p[1] * {sql.hash31('name')} + p[2])) AS embedding FROM names),
+f AS (SELECT name, ({sql.buckets(64, 4)} = '{",".join(map(str, own))}') AS inside, list_sum(list_transform(list_zip(embedding, {sql.listed(q)}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM v)
+SELECT name, round(distance, 6) AS distance FROM f WHERE inside OR NOT (SELECT bool_or(inside) FROM f) ORDER BY distance, name LIMIT 10"""
+
+
+@query(_similarity_sql())
 def entity_similarity(spark, sf_dir):
-    found = entity_store.entities(extraction.entities(_docs(spark, sf_dir)))
-    return entity_store.similar(found, "the thing of it")
+    """The distance is what the score is made of; the scores themselves are tiny."""
+    stored = kept(entity_store.with_vectors(entity_store.entities(extraction.entities(_docs(spark, sf_dir)))), "vectors")
+    return _rounded(entity_store.similar(stored, ENTITY_QUERY).select("name", (-F.log("score")).alias("distance")), "distance")
 
 
-@query()
+@query(f"""WITH {_RELATIONS},{_FACTS}, n AS (SELECT doc_id, len(list_filter(list_transform(regexp_extract_all({sql.marked('text')}, {sql.q(sql.NAMES)}), lambda x: {sql.unmarked('x')}), lambda x: length(x) >= 2)) AS n_entities FROM documents),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, lower(g1[i]) AS subject, lower(g3[i]) AS object FROM (SELECT *, unnest(range(1, len(g1) + 1)) AS i FROM rel_found)) WHERE NOT list_contains({sql.listed(fixed.ARTICLES)}, subject) AND NOT list_contains({sql.listed(fixed.ARTICLES)}, object) GROUP BY 1),
+f AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, lower(g1[i]) AS entity, lower(g2[i]) AS value FROM (SELECT *, unnest(range(1, len(g1) + 1)) AS i FROM fact_found)) WHERE length(entity) >= 2 AND length(value) >= 2 GROUP BY 1)
+SELECT n.doc_id, n_entities, coalesce(r.n, 0) AS n_relations, coalesce(f.n, 0) AS n_facts FROM n LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id)""")
 def extraction_counts(spark, sf_dir):
     return extraction.extraction_counts(_docs(spark, sf_dir))
 
@@ -559,8 +592,16 @@ def supported_facts(spark, sf_dir):
 
 @query()
 def short_answers(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", answering.answers(F.array("text"), F.concat(F.lit("What is "), F.substring("text", 1, 40), F.lit("?"))).alias("answer"))
+    """The first turn of each conversation as a question, the turns after it as pages."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("question"))
+    pages = c.where("turn > 0").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+    return asked.join(pages, "conv_id").select("conv_id", answering.answers(F.col("pages"), F.col("question")).alias("answer"))
+
+
+@query(f"WITH {_TERMS} SELECT concept, 'What is the definition of ' || replace(concept, '_', ' ') || '?' AS query FROM items")
+def definition_queries(spark, sf_dir):
+    return _item_terms(spark, sf_dir).select("concept", corpora.definition_query(F.col("concept")).alias("query"))
 
 
 @query()
@@ -568,7 +609,7 @@ def cloze_queries(spark, sf_dir):
     return corpora.cloze_queries(_docs(spark, sf_dir), 100)
 
 
-@query()
+@query("SELECT range::VARCHAR AS query_id, 1::INT AS found FROM range(10)")
 def needle_recall(spark, sf_dir):
     """Whether pages with each needle are returned, over a made-up corpus of 40 000 tokens."""
     docs, made = corpora.needles(spark, 10, 40_000)

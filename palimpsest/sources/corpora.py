@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens as tokens_of
+
 TOPICS = ["river delta", "tidal engine", "paper lantern", "glass archive", "copper signal", "winter harbour", "salt library", "silent orchard"]
 
 
@@ -74,6 +76,37 @@ def adversarial(spark: SparkSession, n: int, filler: int, seed: int = 42) -> tup
     return spark.createDataFrame(rows, "doc_id long, text string"), made
 
 
+def multi_hop(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A local copy of a multi-hop question set: JSON, one array or a line each, of {_id, question, answer, type, level, context: [[title, [sentences]]],
+    supporting_facts: [[title, number of the sentence]]}.
+
+    questions (id, question, answer, type, level), paragraphs (id, title, text), each title once by text for ``documents`` (doc_id, title, text),
+    and facts (id, title, sentence). Nothing is fetched.
+    """
+    raw = spark.read.schema("value string").option("wholetext", True).text(path)
+    rows = "array<struct<_id:string,question:string,answer:string,type:string,level:string,context:array<array<string>>,supporting_facts:array<array<string>>>>"
+    lines = F.concat(F.lit("["), F.array_join(F.filter(F.split(F.trim("value"), r"\r?\n"), lambda x: F.trim(x) != ""), ","), F.lit("]"))
+    # Elements of unlike kinds come as strings; lists of sentences are parsed again.
+    each = raw.select(F.explode(F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(lines), rows)).alias("q")).select("q.*").withColumnRenamed("_id", "id")
+    paragraph = each.select("id", "supporting_facts", F.explode("context").alias("c")).select("id", "supporting_facts", F.get("c", F.lit(0)).alias("title"), F.from_json(F.get("c", F.lit(1)), "array<string>").alias("sentences"))
+    paragraphs = paragraph.select("id", "title", F.array_join("sentences", "").alias("text"))
+    documents = paragraphs.select("title", "text").distinct().select(F.xxhash64("title", "text").alias("doc_id"), "title", "text")
+    named = paragraph.select("id", "title", "sentences", F.explode(F.filter("supporting_facts", lambda f: F.get(f, F.lit(0)) == F.col("title"))).alias("f"))
+    facts = named.select("id", "title", F.get("sentences", F.get("f", F.lit(1)).cast("int")).alias("sentence")).where("sentence IS NOT NULL")
+    return {"questions": each.select("id", "question", "answer", "type", "level"), "paragraphs": paragraphs, "documents": documents, "facts": facts}
+
+
+def articles(spark: SparkSession, path: str, least: int = 100) -> DataFrame:
+    """(doc_id, title, text, tokens) of a local copy of encyclopaedia articles, a JSON object {id, title, text} a line; those of at least ``least`` tokens."""
+    rows = spark.read.schema("id string, title string, text string").json(path)
+    return rows.select(F.coalesce(F.col("id").try_cast("long"), F.xxhash64("id")).alias("doc_id"), "title", "text", F.size(tokens_of(F.col("text"))).alias("tokens")).where(F.col("tokens") >= least)
+
+
+def definition_query(concept: Column) -> Column:
+    """A question for a concept whose words are set apart by underscores."""
+    return F.concat(F.lit("What is the definition of "), F.replace(concept, F.lit("_"), F.lit(" ")), F.lit("?"))
+
+
 def cloze_queries(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """(doc_id, query, answer): of ``n`` documents a sentence of 11 to 29 words, asked up to its first copula (or third word).
 

@@ -275,6 +275,58 @@ def test_keyword_answers(spark):
     assert r.page_ids == ["p0", "p1"] and r.tokens_used == 6 and r.tokens_total == 6
 
 
+def plain_keywords(pages, query, max_tokens):
+    """All pages with any word, by share of the words, taken while they fit."""
+    words = set(query.lower().split())
+    found = [(-sum(w in t.lower() for w in words) / len(words), seq, name, max(1, int(len(t.split()) * 1.1))) for seq, name, t in pages if any(w in t.lower() for w in words)]
+    left, out = int(max_tokens * 1.5), []
+    for _, _, name, n in sorted(found):
+        if n <= left:
+            out.append(name)
+            left -= n
+    return out, sum(f[3] for f in found)
+
+
+def test_keyword_answers_against_all_pages(spark):
+    rng = np.random.default_rng(9)
+    pages = [(i, f"p{i}", " ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 12))))) for i in range(300)]
+    asked = [(str(k), " ".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 4)))), int(rng.integers(8, 40)), []) for k in range(12)]
+    got = {r.query_id: (r.page_ids, r.tokens_total) for r in retrieval.keyword_collapse(spark.createDataFrame(pages, "page_seq long, page_id string, text string"), ask(spark, *asked)).collect()}
+    assert got == {q: plain_keywords(pages, text, n) for q, text, n, _ in asked}
+
+
+def test_hits_and_telemetry(spark):
+    results = spark.createDataFrame([("a", ["p0", "p1"], 10, 40, 0.5, None), ("b", [], 0, 0, 0.0, "Empty query")], "query_id string, page_ids array<string>, tokens_used long, tokens_total long, confidence double, error string")
+    scores = {r.page_id: r.score for r in hierarchy.access_scores(retrieval.hits(results).unionByName(store.reads(spark.createDataFrame([("p1",)], "page_id string")))).collect()}
+    assert scores == {"p0": 0.5, "p1": 1.5}
+    row = evaluation.telemetry(results, 4.0).first()
+    assert (row.queries, row.failed, row.queries_per_second, row.tokens_used, row.compression_ratio) == (2, 1, 0.5, 10, 4.0)
+
+
+def test_serving(spark):
+    import json
+
+    server = rpc.serving(lambda asked: asked.select("query_id", "query", F.lit(None).cast("string").alias("error")), spark)
+    line = json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "collapse", "arguments": {"query": "hi"}}})
+    assert json.loads(json.loads(server.answer(line))["result"]["content"][0]["text"]) == {"query_id": "default", "query": "hi", "error": None}
+
+
+def test_connectors(spark, tmp_path):
+    import json
+
+    rows = [{"_id": f"q{i}", "question": "Who?", "answer": "Ada", "type": "bridge", "level": "easy", "context": [["A", ["One. ", "Two."]], [f"B{i}", ["Three"]]], "supporting_facts": [["A", 1], [f"B{i}", 0], ["A", 9]]} for i in range(2)]
+    (tmp_path / "whole.json").write_text(json.dumps(rows))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    for name in ("whole.json", "lines.json"):
+        made = corpora.multi_hop(spark, str(tmp_path / name))
+        assert sorted((r.title, r.text) for r in made["documents"].collect()) == [("A", "One. Two."), ("B0", "Three"), ("B1", "Three")]
+        assert sorted((r.id, r.title, r.sentence) for r in made["facts"].collect()) == [("q0", "A", "Two."), ("q0", "B0", "Three"), ("q1", "A", "Two."), ("q1", "B1", "Three")]
+        assert made["questions"].count() == 2 and made["paragraphs"].count() == 4
+    (tmp_path / "articles.json").write_text("\n".join(json.dumps({"id": i, "title": f"T{i}", "text": "w " * n}) for i, n in (("7", 3), ("x", 5), ("8", 1))))
+    got = sorted((r.title, r.tokens) for r in corpora.articles(spark, str(tmp_path / "articles.json"), 2).collect())
+    assert got == [("T7", 3), ("Tx", 5)]
+
+
 # --- compression ---
 
 
@@ -362,11 +414,26 @@ def test_last_property_and_first_confidence(spark):
 
 
 def test_similar_entities(spark):
-    table = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "name string")
-    got = entity_store.similar(table, "beta", 2, 8).collect()
+    table = entity_store.with_vectors(spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "name string"), 8, w=1e6)  # one bucket
+    got = entity_store.similar(table, "beta", 2, 8, w=1e6).collect()
     want = entity_store.np_similarity(["alpha", "beta", "gamma"], "beta", 8)
     assert got[0].name == "beta" and got[0].score == pytest.approx(1.0) and got[1].score == pytest.approx(sorted(want)[-2])
     assert entity_store.similar(table, " ").count() == 0
+    narrow = entity_store.with_vectors(table.select("name"), 8, w=0.01)  # a bucket for each
+    assert [r.name for r in entity_store.similar(narrow, "beta", 2, 8, w=0.01).collect()] == ["beta"]
+    assert len(entity_store.similar(narrow, "delta", 2, 8, w=0.01).collect()) == 2  # an empty bucket: all entities
+
+
+def test_extractors(spark):
+    pages = pages_of(spark, "Cats are animals.", None, "x" * (extraction.MAX_CHARS + 1))
+    extraction.register("first words", extraction.of_function(lambda t: [(t.split()[0], "begins", t.split()[-1])] * 2 if t else []))
+    got = [(r.page_seq, r.subject, r.predicate) for r in extraction.extract(pages, "first words").orderBy("page_seq").collect()]
+    assert [g[0] for g in got] == [0, 2] and got[0] == (0, "Cats", "begins")
+    assert extraction.extract(pages).count() == 1
+    with pytest.raises(ValueError):
+        extraction.extract(pages, "none")
+    with pytest.raises(Exception, match="text too long"):
+        extraction.triples(pages, strict=True).count()
 
 
 # --- evaluation, answers ---
