@@ -13,10 +13,10 @@ within two bits, however many rows there are. Links are joined into components b
 similarity of 0.8 a seventh of all bits differ. No code covers such a distance with a bearable number of anchors, so the
 anchors are all points of many words of bits drawn from a wider fingerprint. Their length follows the number of texts, so
 that about GROUP share an anchor by chance; their number is such that all but MISS of the pairs at the
-threshold share one. What shares an anchor is compared by all bits, and by the sets themselves before it is linked. Groups of
-many near copies are linked through hubs: each text is first compared with that neighbour that has the most
-neighbours, twice over; only texts that are then still in different components are compared pair by pair.
-An anchor of more than HOT texts is dealt out as pairs of blocks.
+threshold share one. What shares an anchor is compared by all bits; texts that are joined by steps of at most FAR bits are a
+cluster, of which each anchor sends a spanning forest and not all pairs. In a cluster the sets themselves are compared, each sent there
+once, and only a forest of the links leaves it. Anchors of more than HOT texts, and clusters of more than HOT_SHINGLES, are dealt
+out as pairs of blocks, so that no task's share grows with its group.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other;
 a null identifier keeps its row and is never a component's identifier unless all of its members lack one;
@@ -26,7 +26,7 @@ repeated rows are members each; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations, pairwise
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, lean, marked, texts_of, written
+from .common import bitmap, bits_for, discard, lean, marked, texts_of, written
 from .components import components
 
 #: The Golay code's generator polynomial, its word length and covering radius.
@@ -186,23 +186,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2, se
 
 # --- by the similarity of shingle sets ---
 
-#: Bits of the wide fingerprint, and those in which candidates may differ.
-WIDE, FAR = 128, 32
+#: Bits of the wide fingerprint, and those in which neighbours in a cluster may differ: at a similarity of 0.8 one pair in some thousands has more,
+#: and of pairs of unrelated texts one in 10^17 has no more.
+WIDE, FAR = 256, 58
+#: Columns of the wide fingerprint.
+QUARTERS = ["a", "b", "c", "d"]
 #: Texts that share an anchor by chance, about; share of the pairs at the threshold that may have no anchor in common.
 GROUP, MISS = 64, 0.01
-#: Texts at an anchor beyond which it is dealt out in blocks of that many.
-HOT = 20_000
-#: Rounds of comparing with hubs.
-ROUNDS = 2
+#: Texts at an anchor, and shingles of a cluster's texts, beyond which they are dealt out in blocks of that many.
+HOT, HOT_SHINGLES = 20_000, 1 << 20
 #: Rows sent to the engine at a time.
 ROWS = 500
 
-PRINT = "doc_id long, h long, n int, a long, b long"
-ANCHORED = "anchor long, id long, n int, a long, b long, root long"
+PRINT = "doc_id long, h long, n int, a long, b long, c long, d long"
+ANCHORED = "anchor long, id long, n int, a long, b long, c long, d long"
 
 
-def _hashes(text: str | None, shingle: int, seed: int) -> tuple[bytes, Iterator[np.ndarray]]:
-    """The words in lower case, a space apart, and the hashes of their shingles as rows of sixteen bytes, BLOCK at a time."""
+def _hashes(text: str | None, shingle: int, seeds: list[int]) -> tuple[bytes, Iterator[np.ndarray]]:
+    """The words in lower case, a space apart, and the hashes of their shingles as rows of sixteen bytes for each seed, BLOCK at a time."""
     from xxhash import xxh3_128_digest
 
     words = (text or "").encode().lower().split()
@@ -213,8 +214,8 @@ def _hashes(text: str | None, shingle: int, seed: int) -> tuple[bytes, Iterator[
 
     def blocks() -> Iterator[np.ndarray]:
         for at in range(0, n, BLOCK):
-            places = zip(starts[at : min(n, at + BLOCK)].tolist(), stops[at : at + BLOCK].tolist(), strict=True)
-            yield np.frombuffer(b"".join([xxh3_128_digest(joined[a:b], seed) for a, b in places]), np.uint8).reshape(-1, WIDE // 8)
+            parts = [joined[a:b] for a, b in zip(starts[at : min(n, at + BLOCK)].tolist(), stops[at : at + BLOCK].tolist(), strict=True)]
+            yield np.hstack([np.frombuffer(b"".join([xxh3_128_digest(x, seed) for x in parts]), np.uint8).reshape(-1, 16) for seed in seeds])
 
     return joined, blocks()
 
@@ -225,27 +226,26 @@ def _set(blocks: Iterator[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
-def wide_print(text: str | None, shingle: int, seed: int) -> tuple[int, int, int, int]:
-    """(hash of the words, number of distinct shingles, and the two halves of the fingerprint), all signed."""
+def wide_print(text: str | None, shingle: int, seed: int) -> tuple[int, ...]:
+    """(hash of the words, number of distinct shingles, and the quarters of the fingerprint), all signed."""
     from xxhash import xxh3_64_intdigest
 
-    joined, blocks = _hashes(text, shingle, seed)
+    joined, blocks = _hashes(text, shingle, [seed, seed + 1])
     counts, n, parts = np.zeros(WIDE, np.int64), 0, []
     for block in blocks:
         counts += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
         n += len(block)
         parts.append(block)
-    a, b = np.packbits(2 * counts > n).view("<i8").tolist()
     h = xxh3_64_intdigest(joined, seed)
-    return h - (1 << 64) if h >> 63 else h, len(_set(iter(parts))), a, b
+    return h - (1 << 64) if h >> 63 else h, len(_set(iter(parts))), *np.packbits(2 * counts > n).view("<i8").tolist()
 
 
 def _prints(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [wide_print(text.as_py(), shingle, seed) for text in batch.column(1)]
-            h, n, a, b = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "h", "n", "a", "b"])
+            h, n, *quarters = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in quarters)], names=["doc_id", "h", "n", *QUARTERS])
 
     return texts.mapInArrow(lean(compute), PRINT)
 
@@ -259,7 +259,7 @@ def words_for(n: int, share: Fraction) -> tuple[int, int]:
 
 
 def _anchored(nodes: DataFrame, bits: int, words: int, seed: int) -> DataFrame:
-    """A row for each anchor of each of ``nodes`` (id, n, a, b, root)."""
+    """A row for each anchor of each of ``nodes`` (id, n, a, b, c, d)."""
     draw = np.random.default_rng(seed)
     places = np.stack([draw.choice(WIDE, bits, replace=False) for _ in range(words)])
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
@@ -268,27 +268,29 @@ def _anchored(nodes: DataFrame, bits: int, words: int, seed: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                halves = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)], axis=1).astype("<i8")
+                halves = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)], axis=1).astype("<i8")
                 own = np.unpackbits(halves.view(np.uint8).reshape(len(halves), -1), axis=1)
                 anchors = np.stack([(own[:, p].astype(np.int64) * weights).sum(1) + (np.int64(w) << bits) for w, p in enumerate(places)])
                 each = pa.array(np.tile(np.arange(len(halves)), words))
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel()), *(batch.column(i).take(each) for i in range(5))], names=[f.split(" ")[0] for f in ANCHORED.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel()), *(batch.column(i).take(each) for i in range(6))], names=[f.split(" ")[0] for f in ANCHORED.split(", ")])
 
-    return nodes.select("id", "n", "a", "b", "root").mapInArrow(lean(replicate), ANCHORED)
+    return nodes.select("id", "n", *QUARTERS).mapInArrow(lean(replicate), ANCHORED)
 
 
-def _met(anchored: DataFrame) -> DataFrame:
-    """The rows of ``anchored``, those of one (anchor, i, j) together in a partition; ``s``: a row's own block.
+def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """``rows`` with columns s (its own block), i and j: a row goes to every pair of blocks that holds its own.
+
+    ``blocks``: (key, m) of the keys that have more than one block."""
+    split = rows.join(blocks, key, "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    every = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return every.withColumns({"i": F.least("s", "o"), "j": F.greatest("s", "o")}).drop("m", "o")
+
 
-    A hot anchor's texts fall into blocks and are sent to every pair of blocks that holds theirs."""
+def _met(anchored: DataFrame) -> DataFrame:
+    """The rows of ``anchored``, those of one (anchor, i, j) together in a partition."""
     hot = written(anchored.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor", F.ceil(F.col("c") / HOT).cast("int").alias("m")), "hot")
-    if hot.isEmpty():
-        dealt = anchored.withColumns({c: F.lit(0) for c in "sij"})
-    else:
-        split = anchored.join(hot, "anchor", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
-        dealt = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"i": F.least("s", "o"), "j": F.greatest("s", "o")})
-    columns = ["anchor", "i", "j", "s", "id", "n", "a", "b", "root"]
-    return dealt.select(*columns).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    dealt = anchored.withColumns({c: F.lit(0) for c in "sij"}) if hot.isEmpty() else _dealt(anchored, "anchor", hot)
+    return dealt.select("anchor", "i", "j", "s", "id", "n", *QUARTERS).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -314,73 +316,98 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         yield joined()
 
 
-def _near(g: dict[str, np.ndarray], rows: slice, share: Fraction) -> np.ndarray:
-    """Which texts of the group differ from those at ``rows`` in at most FAR bits, are of fitting size and another root."""
+def _near(g: dict[str, np.ndarray], rows: np.ndarray, others: np.ndarray, share: Fraction) -> np.ndarray:
+    """Which of ``others`` in the group differ from ``rows`` in at most FAR bits and are of fitting size."""
     # Unsigned: of a negative number the bits of its absolute value would be counted.
-    differ = sum(np.bitwise_count((g[c][rows, None] ^ g[c]).view(np.uint64)) for c in "ab")
-    n = g["n"].astype(np.int64)
-    near = (differ <= FAR) & (g["root"][rows, None] != g["root"])
-    near &= np.minimum(n[rows, None], n) * share.denominator >= np.maximum(n[rows, None], n) * share.numerator
-    if g["i"][0] != g["j"][0]:
-        near &= g["s"][rows, None] != g["s"]
-    return near
-
-
-def _hubs(met: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v, ru, rv): for each text the neighbour that has the most neighbours at an anchor of both, and their roots."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    differ = sum(np.bitwise_count((g[c][rows, None] ^ g[c][others]).view(np.uint64)).astype(np.int16) for c in QUARTERS)
+    n, m = g["n"].astype(np.int64)[rows, None], g["n"].astype(np.int64)[others]
+    return (differ <= FAR) & (np.minimum(n, m) * share.denominator >= np.maximum(n, m) * share.numerator)
+
+
+def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
+    """A spanning forest of ``n`` things, as those visited and what each of them found; ``near`` tells which of the unvisited are neighbours of one."""
+    left, sources, found = np.arange(n), [], []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            hit = near(at, left)
+            if hit.any():
+                sources.append(at)
+                found.append(left[hit])
+                queue += left[hit].tolist()
+                left = left[~hit]
+    return sources, found
+
+
+def _edges(met: DataFrame, share: Fraction) -> DataFrame:
+    """(u, v): of the texts of each anchor, a spanning forest of those near each other."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            size, step = len(g["id"]), max(1, (1 << 20) // len(g["id"]))
-            degree = np.zeros(size, np.int64)
-            for at in range(0, size, step):
-                degree[at : at + step] = _near(g, slice(at, at + step), share).sum(1)
-            some = np.flatnonzero(degree)
-            if not len(some):
-                continue
-            hub = np.zeros(size, np.int64)
-            for at in range(0, size, step):
-                if degree[at : at + step].any():
-                    hub[at : at + step] = np.where(_near(g, slice(at, at + step), share), degree, 0).argmax(1)
-            hub = hub[some]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g["id"][some], g["id"][hub], g["root"][some], g["root"][hub], degree[hub])], names=["u", "v", "ru", "rv", "degree"])
-
-    found = met.mapInArrow(lean(choose), "u long, v long, ru long, rv long, degree long")
-    return found.groupBy("u").agg(F.max(F.struct("degree", "v", "ru", "rv")).alias("best")).select("u", "best.v", "best.ru", "best.rv")
-
-
-def _rest(met: DataFrame, share: Fraction) -> DataFrame:
-    """(u, v, ru, rv) with u < v: all neighbours that are in different components, and their roots."""
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches):
-            step = max(1, (1 << 20) // len(g["id"]))
-            for at in range(0, len(g["id"]), step):
-                x, y = np.nonzero(_near(g, slice(at, at + step), share))
-                x = (at + x)[up := g["id"][at + x] < g["id"][y]]
-                y = y[up]
-                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (g["id"][x], g["id"][y], g["root"][x], g["root"][y])], names=["u", "v", "ru", "rv"])
-
-    return met.mapInArrow(lean(every), "u long, v long, ru long, rv long").distinct()
+            size = len(g["id"])
+            every = np.arange(size)
+            if size <= 2_048:
+                table = _near(g, every, every, share)
+                u, v = np.nonzero(np.triu(table, 1))
+                if len(u) > 2 * size:
+                    sources, found = _forest(size, lambda at, left, table=table: table[at, left])
+            else:
+                u, (sources, found) = range(3 * size), _forest(size, lambda at, left, g=g: _near(g, np.array([at]), left, share)[0])
+            if len(u) > 2 * size:
+                u = np.repeat(np.array(sources, np.int64), [len(x) for x in found])
+                v = np.concatenate(found) if found else u
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(g["id"][u]), pa.array(g["id"][v])], names=["u", "v"])
+
+    return met.mapInArrow(lean(join), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _links(share: Fraction):
+    """Of the texts of a cluster (or of two blocks of it), a spanning forest of those whose sets are similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = table["hashes"].combine_chunks()
+        ids, sizes = table["id"].to_numpy(), np.diff(sets.offsets.to_numpy())
+        _, words = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sizes)
+        own, marked_ = np.split(words, ends[:-1]), np.zeros(len(words) + 1, bool)
+        held: dict = {"left": None}
+
+        def near(at: int, left: np.ndarray) -> np.ndarray:
+            if held["left"] is None or len(held["left"]) != len(left):
+                held.update(left=left, flat=np.concatenate([own[x] for x in left.tolist()]), starts=np.cumsum(sizes[left]) - sizes[left])
+            marked_[own[at]] = True
+            common = np.add.reduceat(marked_[held["flat"]], held["starts"], dtype=np.int64)
+            marked_[own[at]] = False
+            return common * (share.numerator + share.denominator) >= (sizes[at] + sizes[left]) * share.numerator
+
+        sources, found = _forest(len(ids), near)
+        u = np.repeat(np.array(sources, np.int64), [len(x) for x in found])
+        v = np.concatenate(found) if found else u
+        return pa.table({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[v], pa.int64())})
+
+    return run
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(id, hashes) of ``wanted`` (id, h, low: an identifier of a document that has those words)."""
+    """(id, cluster, hashes) of ``wanted`` (id, cluster, h, low: an identifier of a document that has those words)."""
     from xxhash import xxh3_64_intdigest
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                own = [_hashes(text.as_py(), shingle, seed) for text in batch.column(1)]
+                own = [_hashes(text.as_py(), shingle, [seed]) for text in batch.column(1)]
                 h = np.array([xxh3_64_intdigest(joined, seed) for joined, _ in own], np.uint64).view(np.int64)
                 sets = [_set(blocks) for _, blocks in own]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["low", "h", "hashes"])
 
-    some = marked(texts, bitmap(wanted, "low"), F.col("doc_id"), "__may").where("__may").select("doc_id", "text")
+    bits = bits_for(wanted.count())
+    some = marked(texts, bitmap(wanted, "low", bits), F.col("doc_id"), "may", bits).where("may").select("doc_id", "text")
     found = some.mapInArrow(lean(compute), "low long, h long, hashes array<long>").groupBy("low", "h").agg(F.first("hashes").alias("hashes"))
-    return found.join(wanted, found.low.eqNullSafe(wanted.low) & (found.h == wanted.h)).select("id", "hashes")
+    return found.join(wanted, found.low.eqNullSafe(wanted.low) & (found.h == wanted.h)).select("id", "cluster", "hashes")
 
 
 def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,32 +417,21 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
         raise ValueError("the similarity has to be above 0 and at most 1")
     texts = texts_of(docs, id_col, text_col)
     prints = written(_prints(texts, shingle, seed), "prints")
-    nodes = prints.groupBy("h", "a", "b").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"))
+    nodes = prints.groupBy("h", *QUARTERS).agg(F.min("doc_id").alias("low"), F.first("n").alias("n"))
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     bits, words = words_for(nodes.count(), share)
 
-    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sides = [sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "uv"]
-        common, total = F.size(F.array_intersect("hu", "hv")), F.size("hu") + F.size("hv")
-        both = pairs.join(sides[0], "u").join(sides[1], "v")
-        return both.where(common * (share.numerator + share.denominator) >= total * share.numerator).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-
-    rooted, sets = nodes.withColumn("root", F.col("id")), None
-    for turn in range(ROUNDS + 1):
-        met = _met(_anchored(rooted, bits, words, seed))
-        pairs = written(_hubs(met, share) if turn < ROUNDS else _rest(met, share), "pairs")
-        if sets is None:  # what has no neighbour now never gets one
-            active = written(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(nodes, "id"), "active")
-            sets = written(_sets(texts, active, shingle, seed), "sets")
-            rooted = active.withColumn("root", F.col("id"))
-        elif pairs.isEmpty():
-            break
-        # Components take the place of their texts, so each turn joins only what is new.
-        roots = components(written(similar(pairs, sets), "links"))
-        rooted = rooted.join(roots, rooted.root == roots.node, "left").select("id", "n", "a", "b", F.coalesce(roots.root, rooted.root).alias("root"))
-        rooted = written(rooted, "rooted")
-    roots = rooted.select(F.col("id").alias("node"), "root")
-    named = written(nodes.join(roots, nodes.id == roots.node, "left").select("h", "a", "b", "low", F.coalesce("root", "id").alias("root")), "named")
+    edges = written(_edges(_met(_anchored(nodes, bits, words, seed)), share), "edges")
+    clusters = components(edges).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    clustered = written(clusters.join(nodes, "id"), "clustered")
+    discard(edges)
+    sets = written(_sets(texts, clustered, shingle, seed), "sets")
+    sizes = clustered.groupBy("cluster").agg(F.ceil(F.sum("n") / HOT_SHINGLES).cast("int").alias("m")).where("m > 1")
+    dealt = _dealt(sets, "cluster", written(sizes, "sizes"))
+    links = written(dealt.groupBy("cluster", "i", "j").applyInArrow(_links(share), "u long, v long"), "links")
+    discard(sets, clustered)
+    roots = components(links)
+    named = written(nodes.join(roots, nodes.id == roots.node, "left").select("h", *QUARTERS, "low", F.coalesce("root", "id").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = named.join(lowest, "root").select("h", "a", "b", "component_id")
-    return prints.join(labels, ["h", "a", "b"]).select("doc_id", "component_id")
+    labels = named.join(lowest, "root").select("h", *QUARTERS, "component_id")
+    return prints.join(labels, ["h", *QUARTERS]).select("doc_id", "component_id")
