@@ -15,9 +15,9 @@ have equal anchors at equal places. Consecutive windows with one anchor are hand
 5. *Marks.* Windows of equal bytes are those in one stretch of shared prefixes to the right of the anchor that
    also agree to its left; all but the earliest are marked. Marks return to their blocks, which cut the bytes.
 
-An anchor with more different surroundings than ``hot_base`` and ``hot_per_block`` allow (a short line of a third of all
-documents, say) would put them all into one merge. Its windows are sent one by one instead, each to the range of its
-own bytes' hash; equal ones are still combined by block first. Nothing is dropped.
+An anchor with more than ``hot`` different surroundings (a short line of a third of all documents, say) would put them all into one
+merge. Its windows are sent one by one instead, each to the range of its own bytes' hash; equal ones are still combined by block
+first. Nothing is dropped. The bound is the same at all sizes, and each range has a task of its own.
 
 Everything is compared byte by byte in the end; hashes only decide what meets where.
 
@@ -35,7 +35,8 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, texts_of, written
@@ -46,7 +47,7 @@ BLOCK_BYTES = 4 << 20
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 32 << 20
 #: Different surroundings of an anchor above which its windows go their own ways.
-HOT_BASE, HOT_PER_BLOCK = 1_000, 4
+HOT = 1_500
 #: Merged suffixes that are marked at a time; more if one stretch of equal grams is longer.
 BATCH = 150_000
 FIRST = -(1 << 63)  #: stands for a null identifier
@@ -196,6 +197,13 @@ class Pieces:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
+def _slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` ranges a key that hash partitioning into ``n`` puts into a partition of its own."""
+    keys = spark.range(24 * n).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part"))
+    found = dict(map(tuple, keys.groupBy("part").agg(F.min("key")).toLocalIterator()))
+    return [found.get(p, 24 * n + p) for p in range(n)]  # one in e^24 has none and shares a partition
+
+
 def _ranges(values: np.ndarray, n: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
     """Order by range of hashes, and (range, from, to) in it."""
     part = (values % np.uint64(n)).astype(np.int64)
@@ -210,7 +218,9 @@ PRINTS = "part int, block long, prints binary, several binary"
 CODES = "block long, part int, codes binary"
 
 
-def _prints(n_parts: int, length: int, gram: int):
+def _prints(slots: Broadcast, length: int, gram: int):
+    n_parts = len(slots.value)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -228,7 +238,7 @@ def _prints(n_parts: int, length: int, gram: int):
                 several = np.where(n > 1, kinds + 1, 1).astype("<u4")  # 1: once; else one more than the surroundings
                 order, parts = _ranges(values, n_parts)
                 prints = (values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                yield _batch(PRINTS, [(p, pieces.block, prints[order[a:b]].tobytes(), _squeeze(several[order[a:b]].tobytes())) for p, a, b in parts])
+                yield _batch(PRINTS, [(slots.value[p], pieces.block, prints[order[a:b]].tobytes(), _squeeze(several[order[a:b]].tobytes())) for p, a, b in parts])
 
     return send
 
@@ -353,15 +363,18 @@ def _entries(pieces: Pieces, codes: np.ndarray, length: int, gram: int, n_parts:
     return runs, first[marked], last[marked]
 
 
-def _runs(n_parts: int, length: int, gram: int):
+def _runs(slots: Broadcast, length: int, gram: int):
+    n_parts = len(slots.value)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {slot: p for p, slot in enumerate(slots.value)}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 pieces = Pieces(row)
-                codes = b"".join(_expand(c["codes"]) for c in sorted(row["codes"] or (), key=lambda c: c["part"]))
+                codes = b"".join(_expand(c["codes"]) for c in sorted(row["codes"] or (), key=lambda c: place[c["part"]]))
                 runs, first, last = _entries(pieces, np.frombuffer(codes, np.uint8), length, gram, n_parts)
-                rows = [(p, pieces.block, run.pack()) for p, run in runs]
+                rows = [(slots.value[p], pieces.block, run.pack()) for p, run in runs]
                 if len(first):  # marks pass the merge by, spread like the ranges
                     rows.append((-1 - pieces.block % n_parts, pieces.block, _intervals(pieces.block, first, last)))
                 yield _batch(RUNS, rows)
@@ -596,20 +609,22 @@ def _cut_split(block_bytes: int):
     return cut
 
 
-def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, hot_base: int = HOT_BASE, hot_per_block: int = HOT_PER_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     if gram & (gram - 1) or not gram <= length < 1 << 15:
         raise ValueError("gram has to be a power of two and no longer than length, length below 32768")
     texts = texts_of(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text")
     blocks = written(texts.mapInArrow(lean(_blocks(length, block_bytes)), BLOCK), "blocks")
-    n_blocks, total = blocks.agg(F.count("*"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0]
     n_parts = 1 + int((total or 0) // range_bytes)
+    spark = docs.sparkSession
+    slots = spark.sparkContext.broadcast(_slots(spark, n_parts))
 
-    prints = blocks.mapInArrow(lean(_prints(n_parts, length, gram)), PRINTS)
-    codes = written(prints.groupBy("part").applyInArrow(_codes(hot_base + hot_per_block * n_blocks), CODES), "codes")
+    prints = blocks.mapInArrow(lean(_prints(slots, length, gram)), PRINTS).repartition(n_parts, "part")
+    codes = written(prints.groupBy("part").applyInArrow(_codes(hot), CODES), "codes")
     coded = blocks.join(codes.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("codes")), "block", "left")
 
-    runs = coded.mapInArrow(lean(_runs(n_parts, length, gram)), RUNS)
+    runs = coded.mapInArrow(lean(_runs(slots, length, gram)), RUNS).repartition(n_parts, "part")
     marks = written(runs.groupBy("part").applyInArrow(_merge(length, gram), MARKS), "marks")
     marked = blocks.join(marks.groupBy("block").agg(F.collect_list("marks").alias("marks")), "block", "left")
 

@@ -55,7 +55,7 @@ def test_against_brute_force(spark, hot, block_bytes, range_bytes, alphabet):
     rows += [(200, None), (201, ""), (202, "a" * 700), (203, rows[3][1]), (None, rows[4][1]), (204, rows[5][1] * 9), (205, text(2_000)), (206, "x" + rows[5][1] * 9)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "x", b"") for r in rows], "doc_id long, text string, block string, data binary").repartition(3)
-    got = sd.cut_repeats(df, length=12, gram=4, block_bytes=block_bytes, range_bytes=range_bytes, hot_base=hot, hot_per_block=0).collect()
+    got = sd.cut_repeats(df, length=12, gram=4, block_bytes=block_bytes, range_bytes=range_bytes, hot=hot).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 12)
 
 
