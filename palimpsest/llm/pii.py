@@ -172,51 +172,57 @@ def _filter(bitmap: bytes) -> Filter:
     return Filter(bitmap)
 
 
-def term_counts(texts: DataFrame, candidates: DataFrame, repeated: DataFrame) -> DataFrame:
+def term_counts(texts: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFrame:
     """(term, n_t): different texts with the term anywhere, of all words that may be candidates.
 
-    ``repeated`` (digest): texts that more than one row has. What a filter over them lets pass is counted by (digest, term), once a task.
+    ``copies`` (digest, n, low): each different text, its rows and smallest identifier. Texts that a filter has for single are counted in
+    their task; of the others, rows that a second filter may have for that with the smallest identifier send their terms, once a text.
     """
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast((bitmap_of(candidates, "term"), bitmap_of(repeated.select(F.hex("digest").alias("digest")), "digest")))
+    first = F.concat_ws(":", F.hex("digest"), F.col("low").cast("string"))
+    shared = context.broadcast((bitmap_of(candidates, "term"), bitmap_of(copies.where("n > 1").select(F.hex("digest").alias("digest")), "digest"), bitmap_of(copies.select(first.alias("first")), "first")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, copied), total, again = map(_filter, shared.value), Counter(), set()
+        (known, copied, reps), total, again = map(_filter, shared.value), Counter(), {}
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                words = set(text.encode().translate(TERM_BYTES).split())
-                if copied.has((digest := digest_of(text)).hex().upper().encode()):
-                    again.update((digest, w) for w in filter(known.__getitem__, words))
-                else:
-                    total.update(filter(known.__getitem__, words))
-            if len(total) + len(again) > CACHE_WORDS:
+            for doc_id, text in zip(*batch.columns, strict=True):
+                doc_id, text = doc_id.as_py(), text.as_py()
+                digest = digest_of(text)
+                name = digest.hex().upper()
+                single = not copied.has(name.encode())
+                if single or reps.has((name if doc_id is None else f"{name}:{doc_id}").encode()):
+                    words = filter(known.__getitem__, set(text.encode().translate(TERM_BYTES).split()))
+                    if single:
+                        total.update(words)
+                    else:
+                        again[digest] = [w.decode() for w in words]
+            if len(total) + sum(map(len, again.values())) > CACHE_WORDS:
                 yield emit(total, again)
-                total, again = Counter(), set()
+                total, again = Counter(), {}
         yield emit(total, again)
 
-    def emit(total: Counter, again: set) -> pa.RecordBatch:
-        pairs = list(again)
-        words = [*(w.decode() for w in total), *(w.decode() for _, w in pairs)]
-        digests, n = [*[None] * len(total), *(d for d, _ in pairs)], [*total.values(), *[1] * len(pairs)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(digests, pa.binary()), pa.array(n, pa.int64())], names=["term", "digest", "n"])
+    def emit(total: Counter, again: dict[bytes, list[str]]) -> pa.RecordBatch:
+        n, m = len(total), len(again)
+        columns = [pa.array([*(w.decode() for w in total), *[None] * m], pa.string()), pa.array([*[None] * n, *again], pa.binary()), pa.array([*total.values(), *[1] * m], pa.int64()), pa.array([*[None] * n, *again.values()], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "digest", "n", "terms"])
 
-    found = texts.select("text").mapInArrow(lean(count), "term string, digest binary, n long")
-    # A null digest stands for texts that have no copies: their counts add up; others count once.
-    each = found.groupBy("term", "digest").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("digest").isNull(), F.col("n")).otherwise(1))
-    return each.groupBy("term").agg(F.sum("n").alias("n_t"))
+    found = texts.select("doc_id", "text").mapInArrow(lean(count), "term string, digest binary, n long, terms array<string>")
+    # A row is a term's number in a task, or the terms of a text; the latter count once.
+    each = found.groupBy("term", "digest").agg(F.sum("n").alias("n"), F.first("terms").alias("terms"))
+    rows = each.select(F.explode(F.when(F.col("digest").isNull(), F.array("term")).otherwise(F.col("terms"))).alias("term"), F.when(F.col("digest").isNull(), F.col("n")).otherwise(1).alias("n"))
+    return rows.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing(base: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, discount: float = DISCOUNT) -> DataFrame:
     """(term, disclosure): the terms that disclose at least ``threshold`` of some entity, and the most that they disclose."""
-    copies = written(base.groupBy("digest").agg(F.count("*").alias("n")), "copies")
+    copies = written(base.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "copies")
     n = copies.count()
     once = base.where(F.size("entities") > 0).groupBy("digest").agg(F.first("near").alias("near"), F.first("entities").alias("entities"))
     once = written(once.select("near", "entities"), "once")
     near = once.select(F.explode("near").alias("x")).select("x.entity", "x.term").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     of_entity = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     candidates = written(near.join(of_entity, "entity"), "candidates")
-    counts = term_counts(texts, candidates, copies.where("n > 1").select("digest"))
+    counts = term_counts(texts, candidates, copies)
     mutual = F.log((F.col("n_te") - F.lit(discount)) * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n_e") < n, mutual / F.log(F.lit(float(n)) / F.col("n_e"))).otherwise(F.lit(0.0))
     found = candidates.join(counts, "term").withColumn("disclosure", share)
