@@ -1,8 +1,10 @@
 """Registered queries on small tables of an unusual kind, against their SQL."""
 
+import numpy as np
 import pytest
 from oracle import compare
 
+from palimpsest.operators import search
 from palimpsest.plans import registry
 
 
@@ -14,3 +16,25 @@ def test_pages_without_terms(spark, tmp_path):
     texts = ["ab cd " * 500, "word other " * 300, "x " * 2000]  # short words alone fill the first and the last pages
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert agrees(spark, "page_embedding", tmp_path) == 16
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """Many equal vectors, others that point the same way, and near ones."""
+    path, draw = tmp_path_factory.mktemp("vectors"), np.random.RandomState(1)
+    x = draw.randn(700, 64).astype("float32") / 8
+    x[100:300] = x[100]
+    x[300:320] = x[100] * 2
+    x[400:420] = x[50] + draw.randn(20, 64).astype("float32") / 100
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["cosine_topk", "rbf_proximity", "bucket_miss_candidates"])
+def test_equal_vectors_in_blocks(spark, vectors, monkeypatch, name):
+    monkeypatch.setattr(search, "ASKED_BLOCK", 5)
+    monkeypatch.setattr(search, "ROWS", 64)
+    monkeypatch.setattr(search, "TILE", 256)
+    assert agrees(spark, name, vectors) > 0
+    plan = registry.QUERIES[name](spark, str(vectors))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan  # no row for each pair but in the result
