@@ -10,8 +10,6 @@ from ..functions import fixed
 from ..operators import extraction, graph
 from ..sources import paging
 
-PARTS = "page_seq long, start long, part array<string>"
-
 
 class Ingest:
     """Appends each micro-batch to tables under ``path``; documents arrive in order of doc_id.
@@ -32,14 +30,15 @@ class Ingest:
     def add(self, docs: DataFrame, batch: int) -> None:
         pieces = paging.parts(docs, self.page_size, self._before(batch))
         pieces.write.mode("overwrite").parquet(f"{self.path}/parts/{batch}")
-        written = self.spark.read.schema(PARTS).parquet(f"{self.path}/parts/{batch}")
-        written.agg(F.lit(batch).cast("long").alias("batch"), F.coalesce(F.sum(F.size("part").cast("long")), F.lit(0)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/offsets/{batch}")
+        written = self.spark.read.schema(paging.PARTS).parquet(f"{self.path}/parts/{batch}")
+        written.agg(F.lit(batch).cast("long").alias("batch"), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/offsets/{batch}")
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
 
     def pages(self) -> DataFrame:
-        return paging.joined_pages(self.spark.read.schema(PARTS).parquet(f"{self.path}/parts/*"))
+        pieces = self.spark.read.schema(paging.PARTS).parquet(f"{self.path}/parts/*")
+        return paging.joined_pages(pieces.where(F.col("n") == self.page_size), pieces.where(F.col("n") < self.page_size))
 
     def graph(self) -> dict[str, DataFrame]:
         found = extraction.triples(self.pages())

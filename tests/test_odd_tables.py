@@ -3,9 +3,12 @@
 import numpy as np
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
-from palimpsest.operators import search
+from palimpsest.functions import text
+from palimpsest.operators import graph, search
 from palimpsest.plans import registry
+from palimpsest.sources import paging
 
 
 def agrees(spark, name, sf_dir):
@@ -38,3 +41,24 @@ def test_equal_vectors_in_blocks(spark, vectors, monkeypatch, name):
     assert agrees(spark, name, vectors) > 0
     plan = registry.QUERIES[name](spark, str(vectors))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan  # no row for each pair but in the result
+
+
+def test_is_concept_by_words(spark):
+    texts = ["ab", "a", "a b", "été x", "a1 b2", "ab1", "x　ab\x1c9", "ab ", "a.b cd.", "\U00010400\U00010401 1", "", "日本", "1 ab"]
+    want = [len(t) >= 2 and any(len(w) >= 2 and w.isalpha() for w in t.split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert [r.c for r in df.orderBy("i").select(text.is_concept(F.col("t")).alias("c")).collect()] == want
+
+
+def test_texts_move_once_to_become_pages(spark, tmp_path):
+    """Only pieces of pages that blocks share are grouped; a text is split nowhere but in blocks."""
+    docs = spark.createDataFrame([(i % 7, f"w{i} " * (i % 5) + "　z") for i in range(400)], "doc_id long, text string").repartition(6)
+    plan = paging.pages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in plan and plan.count("hashpartitioning(page_seq") == 1 and "Join" in plan and "SortMergeJoin" not in plan
+
+
+def test_triples_are_made_once(spark):
+    """What numbers concepts is written before it is read twice."""
+    found = spark.createDataFrame([(0, 1, "a", "is", "b")], "page_seq long, ord long, subject string, predicate string, object string")
+    plan = graph.concepts(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "LocalTableScan" not in plan
