@@ -6,7 +6,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import graph, search
+from palimpsest.operators import graph, retrieval, search
 from palimpsest.plans import registry
 from palimpsest.sources import paging
 
@@ -62,3 +62,15 @@ def test_triples_are_made_once(spark):
     found = spark.createDataFrame([(0, 1, "a", "is", "b")], "page_seq long, ord long, subject string, predicate string, object string")
     plan = graph.concepts(found)._jdf.queryExecution().executedPlan().toString()
     assert "Scan ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
+def test_found_words_go_on_as_they_come(spark, monkeypatch):
+    """A batch of pages gives many small batches of rows, not one."""
+    pages = spark.createDataFrame([(i, f"page_{i}", f"Alpha beta{i % 3} gamma " * 3) for i in range(50)] + [(50, "page_50", "")], "page_seq long, page_id string, text string").coalesce(1)
+    words = {"a": ["alpha", "beta1"], "b": ["beta2", "mm"], "c": [], "d": ["a"]}
+    monkeypatch.setattr(retrieval, "FOUND_ROWS", 7)
+    held = retrieval.held_words(pages, words)
+    assert "MapInArrow" in held._jdf.queryExecution().executedPlan().toString()
+    want = {(q, i): n for i in range(50) for q, own in words.items() if (n := sum(w in f"alpha beta{i % 3} gamma" for w in own))}
+    assert {(r.query_id, r.page_seq): r.n for r in held.collect()} == want
+    assert retrieval.held_words(pages, {}).count() == 0
