@@ -74,3 +74,11 @@ def test_found_words_go_on_as_they_come(spark, monkeypatch):
     want = {(q, i): n for i in range(50) for q, own in words.items() if (n := sum(w in f"alpha beta{i % 3} gamma" for w in own))}
     assert {(r.query_id, r.page_seq): r.n for r in held.collect()} == want
     assert retrieval.held_words(pages, {}).count() == 0
+
+
+def test_shared_words_without_a_row_for_each_pair(spark):
+    concepts = spark.createDataFrame([(c,) for c in ("the of", "the", "the cat", "House", "house cat the", "é the", "")], "concept string")
+    queries = spark.createDataFrame([("a", "The cat of the HOUSE"), ("b", "the the"), ("c", ""), ("d", None)], "query_id string, query string")
+    found = retrieval.lexical_concepts(concepts, queries)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", "House"), ("a", "house cat the"), ("a", "the cat"), ("a", "the of")]
