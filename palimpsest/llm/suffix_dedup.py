@@ -469,6 +469,16 @@ def repeats(lcp: np.ndarray, lefts: list[bytes], least: np.ndarray, age: np.ndar
             yield use[again], back
 
 
+def _stretches(source: np.ndarray, windows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(source, first, last) of the stretches of windows of each source; one sort, however many sources there are."""
+    order = np.lexsort((windows, source))
+    source, windows = source[order], windows[order]
+    for a, b in pairwise(np.concatenate([np.flatnonzero(np.diff(source, prepend=-1)), [len(source)]]).tolist()):
+        own = np.unique(windows[a:b])
+        new = np.flatnonzero(np.diff(own) != 1)
+        yield int(source[a]), own[np.concatenate([[0], new + 1])], own[np.concatenate([new, [len(own) - 1]])]
+
+
 MARKS = "block long, marks binary"
 
 
@@ -488,7 +498,7 @@ def _merge(length: int, gram: int):
         columns = {k: np.concatenate([r.arrays[k] for r in runs])[order] for k in runs[0].arrays}
         lefts = [left for r in runs for left in r.lefts]
         source = np.repeat(np.arange(len(runs)), np.diff(base))[order]
-        found: list[list[np.ndarray]] = [[] for _ in runs]
+        sources, windows_of = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         cuts = np.concatenate([np.flatnonzero(lcp < gram), [len(lcp)]])
         start = 0
         while start < len(lcp):  # batches end where a stretch of equal grams ends
@@ -502,15 +512,10 @@ def _merge(length: int, gram: int):
                 shared = np.concatenate([[0], lcp[start + 1 : stop]])[some]  # those left out share less than a gram with any
                 for entries, back in repeats(shared, [lefts[i] for i in order[part][some]], columns["least"][part][some], age, length, gram):
                     rows = some[entries] + start
-                    for s in np.unique(source[rows]).tolist():
-                        found[s].append(columns["place"][rows[source[rows] == s]] - back)
+                    sources.append(source[rows].astype(np.int32))
+                    windows_of.append(columns["place"][rows] - back)
             start = stop
-        out = []
-        for block, marks in zip(blocks, found, strict=True):
-            if marks:
-                windows = np.unique(np.concatenate(marks))
-                new = np.flatnonzero(np.diff(windows) != 1)
-                out.append((block, _intervals(block, windows[np.concatenate([[0], new + 1])], windows[np.concatenate([new, [len(windows) - 1]])])))
+        out = [(blocks[s], _intervals(blocks[s], first, last)) for s, first, last in _stretches(np.concatenate(sources), np.concatenate(windows_of))]
         return pa.Table.from_batches([_batch(MARKS, out)])
 
     return run

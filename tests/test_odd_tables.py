@@ -6,6 +6,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
+from palimpsest.llm import suffix_dedup
 from palimpsest.operators import graph, retrieval, search
 from palimpsest.plans import registry
 from palimpsest.sources import paging
@@ -82,3 +83,12 @@ def test_shared_words_without_a_row_for_each_pair(spark):
     found = retrieval.lexical_concepts(concepts, queries)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("a", "House"), ("a", "house cat the"), ("a", "the cat"), ("a", "the of")]
+
+
+def test_marks_of_many_blocks_are_sorted_once(monkeypatch):
+    """Of op5's merge: the work on marks doesn't grow with the number of blocks."""
+    draw = np.random.RandomState(2)
+    source, windows = draw.randint(0, 2000, 5000).astype("int32"), draw.randint(0, 40, 5000)
+    got = {s: [w for a, b in zip(first.tolist(), last.tolist(), strict=True) for w in range(a, b + 1)] for s, first, last in suffix_dedup._stretches(source, windows)}
+    assert got == {s: sorted(set(windows[source == s].tolist())) for s in set(source.tolist())}
+    assert list(suffix_dedup._stretches(source[:0], windows[:0])) == []
