@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.llm import suffix_dedup
-from palimpsest.operators import graph, retrieval, search
+from palimpsest.operators import compression, graph, retrieval, search
 from palimpsest.plans import registry
 from palimpsest.sources import paging
 
@@ -92,3 +92,14 @@ def test_marks_of_many_blocks_are_sorted_once(monkeypatch):
     got = {s: [w for a, b in zip(first.tolist(), last.tolist(), strict=True) for w in range(a, b + 1)] for s, first, last in suffix_dedup._stretches(source, windows)}
     assert got == {s: sorted(set(windows[source == s].tolist())) for s in set(source.tolist())}
     assert list(suffix_dedup._stretches(source[:0], windows[:0])) == []
+
+
+def test_near_pairs_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(compression, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(compression, "STRIP", 3)
+    x = np.random.RandomState(4).randn(150, 8)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.5), strict=True) if i < j}
+    got = [(r.a, r.b) for r in compression.near_pairs(table, 8, 0.5, w=1e6).collect()]
+    assert set(got) == want and len(got) == len(want)
