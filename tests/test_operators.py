@@ -377,6 +377,37 @@ def test_svd_small_and_large(spark, monkeypatch):
         compression.svd(entries.limit(0))
 
 
+def test_spectrum_without_vectors(spark, monkeypatch):
+    rng = np.random.RandomState(11)
+    m = np.where(rng.rand(60, 40) < 0.3, rng.randint(1, 9, (60, 40)), 0).astype(float)
+    m[:, 3] *= 20
+    m[7] *= 9
+    m[:, 20:] = np.roll(m[:, :20], 30, 0)  # values that are near one another
+    for name, value in (("DENSE", 2), ("LEADING", 6), ("MOST_NUMBERS", 5), ("SPARE", 6), ("WIDTH", 5), ("CHUNK", 16)):
+        monkeypatch.setattr(compression, name, value)
+    s = np.linalg.svd(m)[1]
+    want = int(np.searchsorted(np.cumsum(s[:6] ** 2) / (s[:6] ** 2).sum(), 0.95) + 1)
+    for turned in (False, True):
+        x = m.T if turned else m
+        entries = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x) if v], "i long, j long, v double")
+        got = compression.spectrum(entries)
+        assert np.allclose(got.values, s[:want], rtol=1e-7) and got.share == pytest.approx((s[:want] ** 2).sum() / (s**2).sum()) and got.ratio == 2400 / (60 * want + want + want * 40)
+    few = spark.createDataFrame([(i, j, float((i + 1) * (j + 2))) for i in range(9) for j in range(8)], "i long, j long, v double")  # of rank one
+    assert compression.spectrum(few).values == pytest.approx(np.linalg.svd(np.outer(np.arange(1, 10), np.arange(2, 10)))[1][:1])
+
+
+def test_products_of_rows_in_strips(spark, monkeypatch):
+    m = np.random.RandomState(12).randn(50, 6)
+    m[:, 4] = 0  # a column without entries
+    entries = spark.createDataFrame([(i * 3, j, float(v)) for (i, j), v in np.ndenumerate(m) if v], "i long, j long, v double")
+    done = compression.svd(entries, rank=5)
+    monkeypatch.setattr(compression, "HELD", 31)
+    left = compression.left_vectors(entries, done)
+    assert "Join" not in left._jdf.queryExecution().toString()
+    got = {(r.i, r.j): r.v for r in compression.reconstructed(left, done).collect()}
+    assert got.keys() == {(i * 3, j) for i in range(50) for j in range(6) if j != 4} and all(abs(got[i * 3, j] - m[i, j]) < 1e-9 for i in range(50) for j in range(6) if j != 4)
+
+
 def test_spectra(spark):
     n = 20
     a = np.array([[1 / (1 + abs(i - j)) if 0 < abs(i - j) <= 2 else 0 for j in range(n)] for i in range(n)])
