@@ -128,6 +128,23 @@ def test_blocks_agree_with_single_keys(spark, sign):
     assert want and {k: got[k] for k in want} == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_numbered_triples_diffuse_as_their_laplacian(spark, sign):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(4)), k, *(f"c{x}" for x in rng.integers(9, size=3))) for k in range(30)] + [(0, 40, "c1", "c1", "c1"), (1, 41, "c2", "c3", "c2")]
+    found = spark.createDataFrame(rows, "page_seq long, ord long, subject string, predicate string, object string")
+    concepts = graph.concepts(found).cache()
+    numbers = graph.numbered(found, concepts)
+    n, name = concepts.count(), {r.idx: r.concept for r in concepts.collect()}
+    lap = graph.laplacian(graph.symmetric(graph.edges(found)))
+    start = concepts.select(F.lit("q").alias("key"), "concept", F.lit(1 / n).alias("rho"))
+    active = spark.createDataFrame([("q", name[2], 1.0)], "key string, concept string, q double")
+    want = {r.concept: r.rho for r in graph.diffuse(lap, start, active, sign=sign).collect()}
+    rho = graph.diffuse_numbered(numbers, n, [2], sign=sign)
+    assert len(want) == n and {name[r.idx]: r.rho for r in rho.collect()} == pytest.approx(want)
+    assert {(name[r.idx], r.b1_no) for r in graph.numbered_postings(numbers).collect()} == {(r.concept, r.b1_no) for r in graph.postings(found).collect()}
+
+
 def test_masses_of_blocks_are_those_of_rows(spark, index):
     active = index[0].concepts.where("idx < 4").select((F.col("idx") % 2).cast("string").alias("query_id"), "concept")
     strengths = retrieval.spread(index[0], active)
