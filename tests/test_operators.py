@@ -145,6 +145,32 @@ def test_numbered_triples_diffuse_as_their_laplacian(spark, sign):
     assert {(name[r.idx], r.b1_no) for r in graph.numbered_postings(numbers).collect()} == {(r.concept, r.b1_no) for r in graph.postings(found).collect()}
 
 
+def test_hubs_are_held_by_no_single_task(spark, monkeypatch):
+    """Links out of a predicate that all triples share are dealt out by where they lead, and nothing is sorted to be joined."""
+    rng = np.random.default_rng(9)
+    rows = [(k // 10, k, f"s{rng.integers(300)}", "has" if k % 9 else "is", f"o{k}") for k in range(3000)] + [(400, 9000, "has", "is", "has"), (400, 9001, "has", "has", "o1")]
+    found = spark.createDataFrame(rows, "page_seq long, ord long, subject string, predicate string, object string")
+    concepts = graph.concepts(found).cache()
+    n, name = concepts.count(), {r.idx: r.concept for r in concepts.collect()}
+    start = concepts.select(F.lit("q").alias("key"), "concept", F.lit(1 / n).alias("rho"))
+    lap = graph.laplacian(graph.symmetric(graph.edges(found)))
+    want = {r.concept: r.rho for r in graph.diffuse(lap, start, spark.createDataFrame([("q", "s1", 1.0)], "key string, concept string, q double")).collect()}
+    seen, plans, sizes = graph.kept, [], []
+    monkeypatch.setattr(graph, "kept", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or seen(df, label))
+    persist = type(found).persist
+    monkeypatch.setattr(type(found), "persist", lambda df, *level: sizes.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]) or persist(df, *level))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rho = graph.diffuse_numbered(graph.numbered(found, concepts), n, [next(i for i, c in name.items() if c == "s1")])
+        got = {name[r.idx]: r.rho for r in rho.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == pytest.approx(want) and len(got) == n
+    assert plans and "SortMergeJoin" not in plans[-1]
+    assert max(sizes[0]) < 1.5 * sum(sizes[0]) / 4  # of the links, on four partitions
+
+
 def test_masses_of_blocks_are_those_of_rows(spark, index):
     active = index[0].concepts.where("idx < 4").select((F.col("idx") % 2).cast("string").alias("query_id"), "concept")
     strengths = retrieval.spread(index[0], active)
