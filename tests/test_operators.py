@@ -439,6 +439,37 @@ def test_spectrum_without_vectors(spark, monkeypatch):
     assert compression.spectrum(few).values == pytest.approx(np.linalg.svd(np.outer(np.arange(1, 10), np.arange(2, 10)))[1][:1])
 
 
+def test_spectrum_by_equal_rows_and_pairs(spark, monkeypatch):
+    # Two hubs; 30 pairs that differ in nothing but their numbers, 4 of a larger value; equal columns; a part that stays.
+    rng = np.random.RandomState(21)
+    m = np.zeros((60, 60))
+    for t in range(2, 36):
+        m[t, t] = 3.0 if t < 6 else 1.0
+        m[t, 0], m[0, t] = 0.5, 0.5
+    m[36:40, 40:46] = rng.randint(1, 5, (4, 1))  # equal columns
+    m[44:50, 50] = 2  # equal rows
+    m[50:, 51:] = np.where(rng.rand(10, 9) < 0.5, rng.randint(1, 4, (10, 9)), 0)
+    m[1, 30:], m[30:, 1] = 0.5, 0.5
+    for name, value in (("DENSE", 2), ("LEADING", 20), ("MOST_NUMBERS", 5), ("SPARE", 10), ("LIST", 12), ("ROOM", 90)):
+        monkeypatch.setattr(compression, name, value)
+    s = np.linalg.svd(m)[1]
+    want = int(np.searchsorted(np.cumsum(s[:20] ** 2) / (s[:20] ** 2).sum(), 0.95) + 1)
+    sides = []
+    leading = compression._leading
+    monkeypatch.setattr(compression, "_leading", lambda entries, height, width, *rest: sides.append((height, width)) or leading(entries, height, width, *rest))
+    for turned in (False, True):
+        entries = spark.createDataFrame([(1000 * i, j, float(v)) if not turned else (j, 1000 * i, float(v)) for (i, j), v in np.ndenumerate(m) if v], "i long, j long, v double")
+        got = compression.spectrum(entries)
+        assert np.allclose(got.values, s[:want], rtol=1e-6) and got.share == pytest.approx((s[:want] ** 2).sum() / (s**2).sum())
+        core, known = compression._reduced(entries, 60)
+        dense = np.zeros((60, 60))
+        for r in core.collect():
+            dense[r.i, r.j] += r.v
+        every = np.sort(np.concatenate([np.linalg.svd(dense)[1], known]))[::-1]
+        assert np.allclose(every[:50], s[:50], atol=1e-6) and len(known) >= 20
+    assert max(max(side) for side in sides) < 40  # a task's vectors are as long as what is left
+
+
 def test_products_of_rows_in_strips(spark, monkeypatch):
     m = np.random.RandomState(12).randn(50, 6)
     m[:, 4] = 0  # a column without entries
