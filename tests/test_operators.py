@@ -2,6 +2,7 @@ import hashlib
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -470,6 +471,17 @@ def test_spectrum_by_equal_rows_and_pairs(spark, monkeypatch):
     assert max(max(side) for side in sides) < 40  # a task's vectors are as long as what is left
 
 
+def test_near_pairs_go_on_by_strips(spark, monkeypatch):
+    monkeypatch.setattr(compression, "STRIP", 10)
+    sent = []
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda self, f, kind: sent.append(f))
+    table = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "id long, vector array<double>")
+    compression.near_pairs(table, 2)
+    rows = [pd.DataFrame({"p": 0, "q": 0, "s": 0, "id": np.arange(a, a + 25), "x": [np.array([0.6, 0.8])] * 25}) for a in (0, 25)]
+    found = list(sent[0](iter(rows)))
+    assert max(map(len, found)) <= 10 * 50 and sum(map(len, found)) == 50 * 49 // 2
+
+
 def test_products_of_rows_in_strips(spark, monkeypatch):
     m = np.random.RandomState(12).randn(50, 6)
     m[:, 4] = 0  # a column without entries
